@@ -19,8 +19,9 @@ from ..session import broadcast_if_small, cut_lineage
 
 METRIC_COLUMNS = ("keyword_signal", "tfidf_signal", "combined_signal")
 
-# Replicates summed side by side in one row: fewer rows and hash lookups per post.
-LANES = 8
+# Replicates summed side by side in one row: fewer rows and hash lookups per post, while the
+# generated code stays small enough to be compiled.
+LANES = 4
 
 _WORD = 0xFFFFFFFF
 # Odd multipliers below 2^31, so that a product with a 32-bit word fits a BIGINT.
@@ -35,42 +36,58 @@ POISSON_CDF = (
 POISSON_STEPS = tuple(int(p * 2**32) for p in POISSON_CDF)
 
 
-def _mix(x: Column) -> Column:
-    """Spread a 32-bit word held in a BIGINT: multiply, keep the low word, fold the high bits in."""
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = (x * F.lit(_MIX_A)).bitwiseAND(F.lit(_WORD))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(_MIX_B)).bitwiseAND(F.lit(_WORD))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
 def seed_words(key: Column) -> tuple[Column, Column]:
     """Low and high word of a post's seed: the id where it is a number, else a hash of it."""
     seed = F.coalesce(key.try_cast("bigint"), F.xxhash64(key))
     return seed.bitwiseAND(F.lit(_WORD)), F.shiftright(seed, 32).bitwiseAND(F.lit(_WORD))
 
 
-def poisson_count(low: Column, high: Column, replicate: Column) -> Column:
-    """Poisson(1) count of a post in a replicate; the same for every metric of the post."""
-    word = (low + replicate * F.lit(_STEP)).bitwiseAND(F.lit(_WORD))
-    drawn = _mix(_mix(word).bitwiseXOR(high))
+def _low_word(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_WORD))
+
+
+def _fold(x: Column, bits: int) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, bits))
+
+
+def _count_of(drawn: Column) -> Column:
+    """Poisson(1) count of a uniform 32-bit draw."""
     count = F.lit(len(POISSON_STEPS))
     for n in range(len(POISSON_STEPS) - 1, -1, -1):
         count = F.when(drawn < F.lit(POISSON_STEPS[n]), F.lit(n)).otherwise(count)
     return count
 
 
+# A hash round multiplies a 32-bit word, keeps the low word and folds high bits in. Two rounds, the
+# high word of the seed between them. Each step is a column of its own: a step uses its input
+# twice, and one nested expression would double with every step.
+_HASH_STEPS = (
+    lambda x, high: _low_word(_fold(x, 16) * F.lit(_MIX_A)),
+    lambda x, high: _low_word(_fold(x, 15) * F.lit(_MIX_B)),
+    lambda x, high: _fold(x, 16).bitwiseXOR(high),
+    lambda x, high: _low_word(_fold(x, 16) * F.lit(_MIX_A)),
+    lambda x, high: _low_word(_fold(x, 15) * F.lit(_MIX_B)),
+    lambda x, high: _fold(x, 16),
+    lambda x, high: _count_of(x),
+)
+
+
 def expand_lanes(scored: DataFrame, replicates: int, key="tweet_id") -> DataFrame:
-    """Each post once per block of replicates, with the block's weights in columns w0..w7."""
+    """Each post once per block of replicates, with the block's Poisson counts in w0..w3.
+
+    A count depends on the post id and the replicate alone, so all metrics of a post share it.
+    """
     blocks = -(-replicates // LANES)
     low, high = seed_words(F.col(key))
-    seeded = scored.withColumn("_low", low).withColumn("_high", high)
+    seeded = scored.withColumns({"_low": low, "_high": high})
     spread = seeded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     start = F.col("block").cast("bigint") * LANES
-    weights = {
-        f"w{k}": poisson_count(F.col("_low"), F.col("_high"), start + k) for k in range(LANES)
-    }
-    return spread.withColumns(weights).drop("_low", "_high")
+    drawn = spread.withColumns(
+        {f"w{k}": _low_word(F.col("_low") + (start + k) * F.lit(_STEP)) for k in range(LANES)}
+    )
+    for step in _HASH_STEPS:
+        drawn = drawn.withColumns({f"w{k}": step(F.col(f"w{k}"), F.col("_high")) for k in range(LANES)})
+    return drawn.drop("_low", "_high")
 
 
 def lane_sums(metrics=METRIC_COLUMNS) -> list[Column]:
@@ -84,46 +101,56 @@ def lane_sums(metrics=METRIC_COLUMNS) -> list[Column]:
 
 
 def block_sums(scored: DataFrame, by: str, replicates: int, metrics=METRIC_COLUMNS, key="tweet_id"):
-    narrow = scored.select(by, key, *metrics)
+    """Sums per group and block.
+
+    The narrow rows are gathered by group first, so that a task combines many posts of few groups;
+    the rebalance step splits a group that is too large for one task.
+    """
+    narrow = scored.select(by, key, *metrics).hint("rebalance", F.col(by))
     return expand_lanes(narrow, replicates, key).groupBy(by, "block").agg(*lane_sums(metrics))
 
 
+def _quantile(ordered: Column, q: float) -> Column:
+    """Linearly interpolated quantile of a sorted array."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    below = F.floor(at).cast("int")
+    low, high = F.get(ordered, below), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - below)
+
+
 def intervals(blocks: DataFrame, by: str, replicates: int, alpha=v.BOOTSTRAP_ALPHA, metrics=METRIC_COLUMNS):
     """Mean, percentile interval and count per group from block sums.
 
-    A replicate that drew no post has no mean and is left out. At most `replicates` values per group
-    meet in the percentile.
+    A replicate that drew no post has no mean and is left out. What meets in one group is at most
+    `replicates` means per metric, whatever the number of posts.
     """
-    lanes = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("lane"),
-                    *[
-                        F.when(
-                            F.col(f"sum_w{k}") > 0, F.col(f"sum_w{k}_{m}") / F.col(f"sum_w{k}")
-                        ).alias(m)
-                        for m in metrics
-                    ],
-                )
-                for k in range(LANES)
-            ]
-        )
-    )
+
+    def lane_means(m):
+        means = [
+            F.when(
+                (F.col(f"sum_w{k}") > 0) & (F.col("block") * LANES + k < replicates),
+                F.col(f"sum_w{k}_{m}") / F.col(f"sum_w{k}"),
+            )
+            for k in range(LANES)
+        ]
+        return F.array_compact(F.array(*means)).alias(m)
+
     plain = [(F.col(f"sum_{m}") / F.col("n")).alias(f"mean_{m}") for m in metrics]
-    means = blocks.select(by, "block", "n", *plain, lanes.alias("r")).where(
-        F.col("block") * LANES + F.col("r.lane") < replicates
-    )
+    means = blocks.select(by, "block", "n", *plain, *[lane_means(m) for m in metrics])
     first = F.col("block") == 0
+    grouped = means.groupBy(by).agg(
+        F.max("n").alias("tweet_count"),
+        *[F.max(F.when(first, F.col(f"mean_{m}"))).alias(f"mean_{m}") for m in metrics],
+        *[F.sort_array(F.flatten(F.collect_list(m))).alias(f"all_{m}") for m in metrics],
+    )
     out = []
     for m in metrics:
-        bounds = F.percentile(f"r.{m}", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
         out += [
-            F.max(F.when(first, F.col(f"mean_{m}"))).alias(m),
-            F.get(bounds, 0).alias(_bound(m, "low")),
-            F.get(bounds, 1).alias(_bound(m, "high")),
+            F.col(f"mean_{m}").alias(m),
+            _quantile(F.col(f"all_{m}"), alpha / 2).alias(_bound(m, "low")),
+            _quantile(F.col(f"all_{m}"), 1 - alpha / 2).alias(_bound(m, "high")),
         ]
-    return means.groupBy(by).agg(*out, F.max("n").alias("tweet_count"))
+    return grouped.select(by, *out, "tweet_count")
 
 
 def _bound(metric: str, side: str) -> str:
@@ -154,8 +181,12 @@ def exact_intervals(
         draw = np.random.default_rng(seed)
         n = len(values)
         means = np.empty((replicates, values.shape[1]))
-        for b in range(replicates):
-            means[b] = values[draw.integers(0, n, size=n)].mean(axis=0)
+        # Rows of one draw are the successive draws of the generator; the chunk bounds memory.
+        chunk = max(1, 1_000_000 // n)
+        for b in range(0, replicates, chunk):
+            picked = draw.integers(0, n, size=(min(chunk, replicates - b), n))
+            for k in range(values.shape[1]):
+                means[b : b + chunk, k] = values[picked, k].mean(axis=1)
         low, high = np.percentile(means, percents, axis=0)
         row = [group[by].iloc[0]]
         for k, mean in enumerate(values.mean(axis=0)):
@@ -164,7 +195,10 @@ def exact_intervals(
 
     kind = scored.schema[by].dataType.simpleString()
     fields = [f"{by} {kind}"] + [f"{c} double" for c in names[1:-1]] + ["tweet_count bigint"]
-    return scored.select(by, key, order, *metrics).groupBy(by).applyInPandas(resample, ", ".join(fields))
+    # A given number of partitions is kept as it is: the work per row is large for its bytes.
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = scored.select(by, key, order, *metrics).repartition(tasks, by)
+    return gathered.groupBy(by).applyInPandas(resample, ", ".join(fields))
 
 
 def auto_intervals(
