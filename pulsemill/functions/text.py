@@ -1,16 +1,21 @@
 """Text normalisation and tokens."""
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import SPACE_CLASS, TOKEN_EDGE_PUNCTUATION, ZERO_WIDTH
 
 
 def _nfkc_udf():
-    # Built in a closure, so the executors need pyarrow but not this package.
+    # Built in a closure, so the executors need no copy of this package. Arrow's own kernel is
+    # not used: its NFKC leaves letters decomposed.
+    normalize = unicodedata.normalize
+
     def nfkc_batch(batch: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(batch, form="NFKC")
+        texts = batch.to_pylist()
+        return pa.array([t if t is None else normalize("NFKC", t) for t in texts], pa.string())
 
     return F.arrow_udf(nfkc_batch, "string")
 

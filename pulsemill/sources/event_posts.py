@@ -66,7 +66,7 @@ def raw_event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(seq % 97 == 6, "soon")
         .otherwise(F.col("timestamp_utc"))
         .alias("timestamp_utc"),
-        F.concat(F.lit("  "), F.regexp_replace("content", " the ", " the​ \n")).alias("content"),
+        F.concat(F.lit("  "), F.replace("content", F.lit(" the "), F.lit(" the\u200b \n"))).alias("content"),
         F.when(seq % 11 == 0, F.concat(F.col("like_count").cast("string"), F.lit(".9")))
         .when(seq % 11 == 1, "n/a")
         .otherwise(F.col("like_count").cast("string"))
