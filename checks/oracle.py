@@ -443,26 +443,29 @@ ORACLE["tfidf_weights"] = select(
 )
 
 
-def power_steps(steps=40):
-    """Power iteration on the Gram matrix, one CTE per step."""
+def leading_direction(doublings=8):
+    """Leading eigenvector of the Gram matrix from its 2^8-th power, by repeated squaring.
+
+    The other directions shrink with (second / first eigenvalue)^256.
+    """
     ctes = [
-        """gram AS MATERIALIZED (
+        """gram AS (
   SELECT a.term AS i, b.term AS j, sum(a.weight * b.weight) AS g
   FROM weights a JOIN weights b USING (seq) GROUP BY 1, 2
-)""",
-        "v0 AS MATERIALIZED (SELECT term AS i, 1.0::DOUBLE AS x FROM vocab)",
+),
+g0 AS MATERIALIZED (SELECT i, j, g / sum(g) FILTER (i = j) OVER () AS g FROM gram)"""
     ]
-    for k in range(1, steps + 1):
-        ctes.append(
-            f"y{k} AS (SELECT gram.i, sum(g * x) AS y FROM gram JOIN v{k - 1} v ON v.i = gram.j GROUP BY 1)"
-        )
+    for k in range(1, doublings + 1):
         ctes.append(
-            f"v{k} AS MATERIALIZED (SELECT i, y / sqrt(sum(y * y) OVER ()) AS x FROM y{k})"
+            f"""s{k} AS (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g{k - 1} a JOIN g{k - 1} b ON a.j = b.i GROUP BY 1, 2),
+g{k} AS MATERIALIZED (SELECT i, j, g / sum(g) FILTER (i = j) OVER () AS g FROM s{k})"""
         )
     ctes.append(
-        f"""latent AS (
+        f"""direction AS (SELECT i, sum(g) AS y FROM g{doublings} GROUP BY i),
+loading AS MATERIALIZED (SELECT i, y / sqrt(sum(y * y) OVER ()) AS x FROM direction),
+latent AS (
   SELECT p.seq, coalesce(r.raw, 0) AS raw FROM posts p
-  LEFT JOIN (SELECT seq, sum(weight * x) AS raw FROM weights JOIN v{steps} v ON v.i = term GROUP BY seq) r
+  LEFT JOIN (SELECT seq, sum(weight * x) AS raw FROM weights JOIN loading ON i = term GROUP BY seq) r
   USING (seq)
 ),
 z AS MATERIALIZED (
@@ -476,7 +479,7 @@ ORACLE["tfidf_score"] = select(
     POSTS,
     VOCABULARY,
     WEIGHTS,
-    power_steps(),
+    leading_direction(),
     body="SELECT seq, round(tfidf_signal, 6) AS tfidf_signal FROM z",
 )
 ORACLE["stored_model_score"] = ORACLE["tfidf_score"]
@@ -563,7 +566,7 @@ hourly AS MATERIALIZED (
          round(b.c[2], 6) AS combined_ci_high, m.n AS tweet_count
   FROM means m JOIN bounds b USING (time)
 )"""
-FLAGSHIP = (POSTS, SCORED, VOCABULARY, WEIGHTS, power_steps(), SIGNALS, hash_steps(), HOURLY)
+FLAGSHIP = (POSTS, SCORED, VOCABULARY, WEIGHTS, leading_direction(), SIGNALS, hash_steps(), HOURLY)
 ORACLE["hourly_signals"] = select(*FLAGSHIP, body="SELECT * FROM hourly")
 ORACLE["signals_csv"] = ORACLE["hourly_signals"]
 ORACLE["signals_long"] = select(
