@@ -72,6 +72,9 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+# What NFKC leaves of it: it turns the other ones into plain blanks.
+NFKC_SPACE_CLASS = r"[\x09-\x0D\x1C-\x20\x{85}\x{1680}\x{2028}\x{2029}]"
+
 # Letters of every script, numbers and underscore.
 WORD_CLASS = r"[\p{L}\p{N}_]"
 

@@ -29,8 +29,14 @@ def lexicon_polarity(
     def present(term):
         return text.contains(f" {term.lower()} " if match == "token" else term.lower()).cast("int")
 
-    hits = [present(t) for t in bullish] + [-present(t) for t in bearish]
-    return F.signum(reduce(add, hits, F.lit(0))).cast("int")
+    def balance(ascii_terms):
+        hits = [present(t) for t in bullish if t.isascii() == ascii_terms]
+        hits += [-present(t) for t in bearish if t.isascii() == ascii_terms]
+        return reduce(add, hits, F.lit(0))
+
+    # An ASCII text cannot hold a term of another script.
+    foreign = F.when(text.rlike(r"[^\x00-\x7F]"), balance(False)).otherwise(0)
+    return F.signum(balance(True) + foreign).cast("int")
 
 
 def engagement_weight(likes: Column, retweets: Column, replies: Column) -> Column:

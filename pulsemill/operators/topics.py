@@ -19,11 +19,14 @@ def parse_rules(rules=TOPIC_RULES):
     ]
 
 
-def topic_tokens(content: Column) -> Column:
-    """Distinct lower-case words, hashtags (with '#') and the words of hashtags."""
+def topic_tokens(content: Column, wanted=None) -> Column:
+    """Distinct lower-case words, hashtags (with '#') and the words of hashtags; only `wanted` ones if given."""
     found = F.regexp_extract_all(
         F.lower(F.coalesce(content, F.lit(""))), F.lit(f"(#?{WORD_CLASS}+)"), F.lit(1)
     )
+    if wanted:
+        marked = sorted({"#" + w.lstrip("#") for w in wanted} | set(wanted))
+        found = F.filter(found, lambda t: t.isin(*marked))
     return F.array_distinct(F.concat(found, F.transform(found, lambda t: F.ltrim(t, F.lit("#")))))
 
 
@@ -41,9 +44,10 @@ def topic_label(tokens: Column, rules=TOPIC_RULES) -> Column:
 
 def match_topics(posts: DataFrame, rules=TOPIC_RULES) -> DataFrame:
     """Posts with a `topic` label, found without a join; unmatched posts get NULL."""
-    if sum(len(words) for _, _, clauses in parse_rules(rules) for words in clauses) > MAX_FOLDED_WORDS:
+    wanted = {w for _, _, clauses in parse_rules(rules) for words in clauses for w in words}
+    if len(wanted) > MAX_FOLDED_WORDS:
         raise ValueError("too many rules for one expression; use match_topic_table")
-    tokens = posts.withColumn("_tokens", topic_tokens(F.col("content")))
+    tokens = posts.withColumn("_tokens", topic_tokens(F.col("content"), wanted))
     return tokens.withColumn("topic", topic_label(F.col("_tokens"), rules)).drop("_tokens")
 
 
