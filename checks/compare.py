@@ -39,6 +39,22 @@ def database(sf_dir):
     return db
 
 
+DUCKDB_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_differences(df, db, sql) -> str:
+    mine = {name: DUCKDB_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    theirs = {name: kind for name, kind, *_ in db.execute(f"DESCRIBE {sql}").fetchall()}
+    return ", ".join(f"{c}: {mine.get(c)} / {theirs.get(c)}" for c in sorted({*mine, *theirs}) if mine.get(c) != theirs.get(c))
+
+
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
     for c in frame.columns:
@@ -72,7 +88,8 @@ def main(sf_dir, names):
     for name in names or QUERIES:
         start = time.time()
         try:
-            mine = QUERIES[name](spark, sf_dir).toPandas()
+            df = QUERIES[name](spark, sf_dir)
+            mine = df.toPandas()
             spent = time.time() - start
             if name not in ORACLE:
                 problem, sql = "", 0.0
@@ -80,7 +97,7 @@ def main(sf_dir, names):
                 start = time.time()
                 theirs = db.execute(ORACLE[name]).df()
                 sql = time.time() - start
-                problem = differences(mine, theirs)
+                problem = differences(mine, theirs) or type_differences(df, db, ORACLE[name])
             kind = "rows only" if name not in ORACLE else "equal"
             print(f"{name}: {problem or kind} ({len(mine)} rows, {spent:.1f} s, sql {sql:.1f} s)", flush=True)
         except Exception as error:  # report and go on with the next query

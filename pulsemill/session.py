@@ -17,9 +17,11 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (local tests)."""
+    """The cluster's shared folder; in local mode a temporary one where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pulsemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
