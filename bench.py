@@ -24,11 +24,12 @@ HEADLINES = (
     "query_rate",
     "pages_extract",
     "parquet_by_date",
+    "hourly_bootstrap",
     "tfidf_vocab",
     "tfidf_score",
     "hourly_signals",
     "hourly_bootstrap_exact",
-    "stream_hourly_means",
+    "stream_hourly",
 )
 
 

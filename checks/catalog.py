@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsemill import fixed_values as v
 from pulsemill import functions as fn
-from pulsemill.operators import dedup, hourly, quality, stats, tfidf, topics
+from pulsemill.operators import bootstrap, dedup, hourly, quality, stats, tfidf, topics
 from pulsemill.plans.clean import clean_posts, shape_posts
-from pulsemill.plans.collect import accept_posts, label_batch, merge_batches
+from pulsemill.plans.collect import accept_posts, label_batch, merge_batches, union_batches
 from pulsemill.plans.signals import signal_table
 from pulsemill.schema import HOURLY_SIGNAL, RAW_POST, conform
 from pulsemill.session import new_path, use_utc
@@ -43,7 +43,7 @@ def text(c):
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 
 
-def shaped(events, *shapes):
+def shaped(*shapes):
     """The n-th shape for events whose id leaves n when divided by the number of shapes."""
     turn = F.col("event_id") % len(shapes)
     return F.coalesce(*[F.when(turn == n, s) for n, s in enumerate(shapes)])
@@ -72,7 +72,6 @@ def round_doubles(df):
 def parse_counts(spark, sf_dir):
     user, k = text("user_id"), F.col("k")
     shown = shaped(
-        "events",
         F.concat(user, F.lit("."), k, F.lit("K")),
         F.concat(user, F.lit("."), k, F.lit("M")),
         F.concat(user, F.lit(","), F.lpad(k, 3, "0")),
@@ -89,7 +88,6 @@ def parse_counts(spark, sf_dir):
 
 def safe_ints(spark, sf_dir):
     shown = shaped(
-        "events",
         F.col("k"),
         F.concat(F.col("k"), F.lit(".9")),
         F.lit("n/a"),
@@ -107,7 +105,6 @@ def parse_timestamps(spark, sf_dir):
     ts = F.col("ts").cast("timestamp")
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     shown = shaped(
-        events,
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
         F.concat(whole, F.lit("+05:30")),
         whole,
@@ -179,7 +176,6 @@ def canonical_urls(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     base = F.concat(F.lit("https://example.com/u/status/"), text("event_id"))
     shown = shaped(
-        events,
         base,
         F.concat(base, F.lit("?s=20")),
         F.concat(base, F.lit("/photo/1?x=/status/9")),
@@ -193,7 +189,6 @@ def canonical_urls(spark, sf_dir):
 def author_handles(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     block = shaped(
-        events,
         F.concat(F.lit("Some Name\n@u"), text("user_id"), F.lit("\n2h")),
         F.concat(F.lit(" User "), text("user_id"), F.lit(" \nsecond line")),
         F.lit(""),
@@ -203,7 +198,7 @@ def author_handles(spark, sf_dir):
 
 def first_metrics(spark, sf_dir):
     events = events_with_k(spark, sf_dir)
-    first = shaped(events, F.col("k"), F.lit(""), F.lit("  "), F.lit(None))
+    first = shaped(F.col("k"), F.lit(""), F.lit("  "), F.lit(None))
     second = F.concat(text("user_id"), F.lit(".5K"))
     return events.select("event_id", fn.first_metric(first, second).alias("n"))
 
@@ -327,6 +322,10 @@ def top_hashtags(spark, sf_dir):
     return stats.top_hashtags(tagged(spark, sf_dir))
 
 
+def approx_top_hashtags(spark, sf_dir):
+    return stats.approx_top_hashtags(tagged(spark, sf_dir))
+
+
 def query_rate(spark, sf_dir):
     rate = stats.query_rate(event_posts(spark, sf_dir), seen_at="ts")
     return rounded(rate, "posts_per_minute")
@@ -367,8 +366,6 @@ def collected(spark, sf_dir):
 
 
 def accepted(spark, sf_dir):
-    from pulsemill.plans.collect import union_batches
-
     landed = union_batches(collected(spark, sf_dir))
     return accept_posts(landed, newest(spark, sf_dir), WEEK).select("seq", "tweet_id", "query")
 
@@ -410,6 +407,21 @@ def hourly_keyword(spark, sf_dir):
     return rounded(hourly.hourly_keyword(event_posts(spark, sf_dir)), "keyword_signal")
 
 
+def combined_signal(spark, sf_dir):
+    """The three signals of every post."""
+    posts = event_posts(spark, sf_dir)
+    scored = hourly.score_posts(posts.withColumn("tweet_id", F.col("seq")), tfidf.fit(posts))
+    signals = ("keyword_signal", "tfidf_signal", "combined_signal")
+    return rounded(scored.select(F.col("tweet_id").alias("seq"), "time", *signals), *signals)
+
+
+def hourly_bootstrap(spark, sf_dir):
+    """Intervals of the lexicon signal alone."""
+    scored = hourly.with_keyword_signal(event_posts(spark, sf_dir))
+    scored = scored.withColumn("time", fn.hour_start(F.col("ts")))
+    return round_doubles(bootstrap.poisson_intervals(scored, metrics=("keyword_signal",)))
+
+
 def hourly_dense(spark, sf_dir):
     popular = event_posts(spark, sf_dir).where(F.col("like_count") > 150)
     return rounded(hourly.dense_hours(hourly.hourly_keyword(popular)), "keyword_signal")
@@ -543,7 +555,7 @@ QUERIES = {
     "hashtags": hashtags,
     "mentions": mentions,
     "tag_fallback": tag_fallback,
-    "canonical_urls": canonical_urls,
+    "canonical_url": canonical_urls,
     "author_handles": author_handles,
     "first_metrics": first_metrics,
     "keyword_sentiment": keyword_sentiment,
@@ -556,12 +568,13 @@ QUERIES = {
     "topic_match_table": topic_match_table,
     "dedup_id_url": dedup_id_url,
     "dedup_first_seen": dedup_first_seen,
-    "dedup_identity": dedup_identity,
+    "dedup_coalesced_key": dedup_identity,
     "first_query_wins": first_query_wins,
     "unseen_posts": unseen_posts,
     "posts_per_date": posts_per_date,
     "tag_coverage": tag_coverage,
     "top_hashtags": top_hashtags,
+    "approx_top_hashtags": approx_top_hashtags,
     "query_rate": query_rate,
     "newest_posts": newest_posts,
     "clean_posts": clean,
@@ -573,6 +586,8 @@ QUERIES = {
     "tfidf_score": tfidf_score,
     "stored_model_score": stored_model_score,
     "hourly_keyword": hourly_keyword,
+    "combined_signal": combined_signal,
+    "hourly_bootstrap": hourly_bootstrap,
     "hourly_dense": hourly_dense,
     "hourly_signals": hourly_signals,
     "signals_long": signals_long,
@@ -584,7 +599,7 @@ QUERIES = {
     "parquet_by_date": parquet_by_date,
     "upsert_by_date": upserted,
     "signals_csv": signals_csv,
-    "stream_hourly_means": stream_hourly_means,
+    "stream_hourly": stream_hourly_means,
     "stream_signals": stream_signals,
     "stream_new_posts": stream_new_posts,
 }

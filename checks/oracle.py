@@ -199,7 +199,7 @@ ORACLE["tag_fallback"] = select(
     body=f"SELECT seq, {json_list('h')} AS hashtags_json, array_to_string(m, ',') AS mentions FROM tags",
 )
 
-ORACLE["canonical_urls"] = """
+ORACLE["canonical_url"] = """
 SELECT event_id,
   CASE WHEN event_id % 5 IN (0, 1) THEN 'https://example.com/u/status/' || event_id
        WHEN event_id % 5 = 2 THEN 'https://example.com/u/status/' || event_id || '/photo/1' END AS url,
@@ -298,7 +298,7 @@ ORACLE["dedup_first_seen"] = select(
     first_by("by_id", "by_url", "url", "seq"),
     body="SELECT seq, tweet_id, url FROM by_url",
 )
-ORACLE["dedup_identity"] = select(
+ORACLE["dedup_coalesced_key"] = select(
     POSTS,
     """keyed AS (
   SELECT seq, CASE WHEN reply_count >= 3 THEN tweet_id WHEN reply_count >= 2 THEN url
@@ -343,6 +343,8 @@ ORACLE["top_hashtags"] = select(
     body="""SELECT hashtag, count(*) AS uses FROM (SELECT unnest(h) AS hashtag FROM tagged)
 GROUP BY hashtag ORDER BY uses DESC, hashtag LIMIT 10""",
 )
+# Fewer distinct tags than the sketch has room for: its counts are exact.
+ORACLE["approx_top_hashtags"] = ORACLE["top_hashtags"]
 ORACLE["query_rate"] = select(
     POSTS,
     """spans AS (
@@ -566,6 +568,29 @@ hourly AS MATERIALIZED (
          round(b.c[2], 6) AS combined_ci_high, m.n AS tweet_count
   FROM means m JOIN bounds b USING (time)
 )"""
+KEYWORD_ONLY = """
+signals AS MATERIALIZED (
+  SELECT CAST(tweet_id AS BIGINT) AS id, time, sentiment * weight AS k, 0.0::DOUBLE AS t, 0.0::DOUBLE AS c
+  FROM scored
+)"""
+ORACLE["hourly_bootstrap"] = select(
+    POSTS,
+    SCORED,
+    KEYWORD_ONLY,
+    hash_steps(),
+    HOURLY,
+    body="SELECT time, keyword_signal, keyword_ci_low, keyword_ci_high, tweet_count FROM hourly",
+)
+ORACLE["combined_signal"] = select(
+    POSTS,
+    SCORED,
+    VOCABULARY,
+    WEIGHTS,
+    leading_direction(),
+    body="""SELECT seq, time, round(sentiment * weight, 6) AS keyword_signal, round(tfidf_signal, 6) AS tfidf_signal,
+  round(0.6::DOUBLE * sentiment * weight + 0.4::DOUBLE * tfidf_signal * weight, 6) AS combined_signal
+FROM scored JOIN z USING (seq)""",
+)
 FLAGSHIP = (POSTS, SCORED, VOCABULARY, WEIGHTS, leading_direction(), SIGNALS, hash_steps(), HOURLY)
 ORACLE["hourly_signals"] = select(*FLAGSHIP, body="SELECT * FROM hourly")
 ORACLE["signals_csv"] = ORACLE["hourly_signals"]
@@ -632,7 +657,7 @@ ORACLE["upsert_by_date"] = select(
 # --- streams ------------------------------------------------------------------------------------
 
 CLOSED = "time + INTERVAL 1 HOUR <= now - INTERVAL 24 HOURS"
-ORACLE["stream_hourly_means"] = select(
+ORACLE["stream_hourly"] = select(
     POSTS,
     SCORED,
     body=f"""SELECT time, round(avg(sentiment * weight), 6) AS keyword_signal, count(*) AS tweet_count
