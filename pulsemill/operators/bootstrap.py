@@ -104,9 +104,12 @@ def block_sums(scored: DataFrame, by: str, replicates: int, metrics=METRIC_COLUM
     """Sums per group and block.
 
     The narrow rows are gathered by group first, so that a task combines many posts of few groups;
-    the rebalance step splits a group that is too large for one task.
+    the rebalance step splits a group that is too large for one task. It gathers by a hash of the
+    group: partitioned by the group itself, the rows would already satisfy the aggregation, which
+    would then run without a partial step, and nothing could be split.
     """
-    narrow = scored.select(by, key, *metrics).hint("rebalance", F.col(by))
+    narrow = scored.select(by, key, *metrics, F.xxhash64(by).alias("_gather"))
+    narrow = narrow.hint("rebalance", F.col("_gather")).drop("_gather")
     return expand_lanes(narrow, replicates, key).groupBy(by, "block").agg(*lane_sums(metrics))
 
 
