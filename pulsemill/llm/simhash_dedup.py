@@ -27,11 +27,13 @@ from pulsemill.session import cut_lineage
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-# Fingerprints in a range, and the most ranges (their patterns, 24 bytes each, go to every task).
-RANGE_SIZE = 4096
+# Fingerprints in a range (512 KB), and the most ranges (their patterns, 24 bytes each, go to every task). Every range
+# costs copies of fingerprints near its border, so there are no more than keep all cores busy.
+RANGE_SIZE = 1 << 16
+SMALLEST_RANGE = 4096
 MAX_RANGES = 1 << 14
 # Sizes of the blocks inside a range.
-BLOCKS = (256, 16)
+BLOCKS = (4096, 256, 16)
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
@@ -83,7 +85,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, range_size: int = RANGE_SIZ
     spark = fps.sparkSession
     ranked = cut_lineage(fps.select("fp").distinct().withColumn("rank", gray_rank(F.col("fp"))), "ranked")
     n = ranked.count()
-    parts = min(MAX_RANGES, math.ceil(n / range_size))
+    busy = min(2 * spark.sparkContext.defaultParallelism, math.ceil(n / SMALLEST_RANGE))
+    parts = min(MAX_RANGES, max(math.ceil(n / range_size), busy))
     if parts > 1:
         steps = [k / parts for k in range(1, parts)]
         cuts = ranked.agg(F.percentile_approx("rank", steps, max(10_000, 10 * parts))).first()[0]
