@@ -28,7 +28,6 @@ HEADLINES = (
     "tfidf_vocab",
     "tfidf_score",
     "hourly_signals",
-    "hourly_bootstrap_exact",
     "stream_hourly",
 )
 

@@ -257,7 +257,7 @@ def topic_match_table(spark, sf_dir):
     rules = spark.createDataFrame(
         topics.parse_rules(), "ord INT, label STRING, clauses ARRAY<ARRAY<STRING>>"
     )
-    return topics.match_topic_table(event_posts(spark, sf_dir), rules, key="seq")
+    return topics.match_topic_table(event_posts(spark, sf_dir), rules).select("seq", "topic")
 
 
 # --- deduplication ------------------------------------------------------------------------------
@@ -436,10 +436,6 @@ def signals_long(spark, sf_dir):
     return round_doubles(hourly.long_form(signal_table(event_posts(spark, sf_dir))))
 
 
-def hourly_bootstrap_exact(spark, sf_dir):
-    return round_doubles(signal_table(event_posts(spark, sf_dir), mode="auto"))
-
-
 # --- sources and sinks --------------------------------------------------------------------------
 
 
@@ -483,7 +479,7 @@ def upserted(spark, sf_dir):
     now = newest(spark, sf_dir)
     upsert_by_date(posts.where(F.col("ts") < now - F.expr("INTERVAL 36 HOURS")), path)
     upsert_by_date(posts.where(F.col("ts") >= now - F.expr("INTERVAL 48 HOURS")), path)
-    return stats.posts_per_date(read_posts(spark, path))
+    return read_posts(spark, path).select("tweet_id", "url", "content", "query", "date")
 
 
 def signals_csv(spark, sf_dir):
@@ -591,7 +587,6 @@ QUERIES = {
     "hourly_dense": hourly_dense,
     "hourly_signals": hourly_signals,
     "signals_long": signals_long,
-    "hourly_bootstrap_exact": hourly_bootstrap_exact,
     "pages_extract": pages_extract,
     "page_cards": page_cards,
     "csv_roundtrip": csv_roundtrip,

@@ -4,6 +4,7 @@ from pulsemill import fixed_values as v
 
 # The posts of pulsemill.sources.event_posts.
 POSTS = """
+size AS MATERIALIZED (SELECT count(*) AS n FROM documents),
 posts AS MATERIALIZED (
   SELECT CAST(e.event_id - CASE WHEN e.event_id % 20 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS tweet_id,
          '@u' || e.user_id || CASE WHEN e.user_id % 37 = 0 THEN 'bot' ELSE '' END AS username,
@@ -24,7 +25,7 @@ posts AS MATERIALIZED (
          'Q' || (e.user_id % 4 + 1) AS query,
          CAST(e.ts AS DATE) AS date,
          e.event_id AS seq
-  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+  FROM (SELECT *, event_id % (SELECT n FROM size) AS doc FROM events) e JOIN documents d ON d.doc_id = e.doc
 ), clock AS (SELECT max(ts) AS now FROM events)"""
 
 EVENTS_K = """
@@ -281,7 +282,7 @@ tokens AS (SELECT seq, list_concat(f, list_transform(f, lambda x: ltrim(x, '#'))
 labelled AS (SELECT seq, {topic_case()} AS topic FROM tokens)"""
 ORACLE["topic_match"] = select(POSTS, TOPICS, body="SELECT seq, topic FROM labelled")
 ORACLE["topic_match_table"] = select(
-    POSTS, TOPICS, body="SELECT seq, topic FROM labelled WHERE topic IS NOT NULL"
+    POSTS, TOPICS, body="SELECT seq, topic FROM labelled"
 )
 
 # --- deduplication ------------------------------------------------------------------------------
@@ -314,9 +315,11 @@ ORACLE["first_query_wins"] = select(
 )
 ORACLE["unseen_posts"] = select(
     POSTS,
+    """known AS MATERIALIZED (
+  SELECT DISTINCT tweet_id FROM posts WHERE ts < (SELECT date_trunc('day', now) - INTERVAL 7 DAYS FROM clock)
+)""",
     body="""SELECT seq, substr(url, 28) AS tweet_id FROM posts
-WHERE substr(url, 28) NOT IN (
-  SELECT tweet_id FROM posts, clock WHERE ts < date_trunc('day', now) - INTERVAL 7 DAYS)""",
+ANTI JOIN known ON known.tweet_id = substr(posts.url, 28)""",
 )
 
 # --- counts -------------------------------------------------------------------------------------
@@ -643,15 +646,19 @@ ORACLE["upsert_by_date"] = select(
     first_by("early", "e1", "tweet_id", "t DESC, tweet_id, seq"),
     first_by("e1", "e2", "url", "t DESC, tweet_id, seq"),
     """late AS (SELECT v.* FROM valid v, clock WHERE t >= now - INTERVAL 48 HOURS)""",
-    """touched AS (SELECT DISTINCT CAST(t AS DATE) AS d FROM late)""",
+    """touched AS (
+  SELECT CAST(t AS DATE) AS d FROM late
+  UNION SELECT CAST(t AS DATE) FROM e2 WHERE tweet_id IN (SELECT tweet_id FROM late) OR url IN (SELECT url FROM late)
+)""",
     """both_loads AS (
   SELECT * FROM e2 WHERE CAST(t AS DATE) IN (SELECT d FROM touched) UNION ALL SELECT * FROM late
 )""",
     first_by("both_loads", "b1", "tweet_id", "t DESC, tweet_id, seq"),
     first_by("b1", "b2", "url", "t DESC, tweet_id, seq"),
-    body="""SELECT CAST(t AS DATE) AS date, count(*) AS posts FROM (
-  SELECT t FROM e2 WHERE CAST(t AS DATE) NOT IN (SELECT d FROM touched) UNION ALL SELECT t FROM b2
-) GROUP BY 1""",
+    body="""SELECT tweet_id, url, tidy AS content, query, CAST(t AS DATE) AS date FROM (
+  SELECT tweet_id, url, tidy, query, t FROM e2 WHERE CAST(t AS DATE) NOT IN (SELECT d FROM touched)
+  UNION ALL SELECT tweet_id, url, tidy, query, t FROM b2
+)""",
 )
 
 # --- streams ------------------------------------------------------------------------------------

@@ -1,21 +1,14 @@
 """Bootstrap confidence intervals of hourly means.
 
-Two ways, same output:
-
-* Poisson: each post takes part in replicate b with a Poisson(1) count drawn from a hash of
-  (post id, b). Replicate sums are ordinary sums, so they combine on the map side, work on a stream,
-  and a hot hour costs no more memory than a quiet one. What is shuffled is at most
-  tasks x hours x replicates partial sums, whatever the number of posts.
-* exact resampling: one group per hour in a pandas function with numpy's seeded generator. An hour
-  is held in memory, so only hours up to `max_group` posts go this way.
-
-`mode="auto"` uses exact resampling up to the bound and Poisson beyond it.
+Each post takes part in replicate b with a Poisson(1) count drawn from a hash of (post id, b). Replicate
+sums are ordinary sums, so they combine on the map side, work on a stream, and a hot hour costs no more
+memory than a quiet one. What is shuffled is at most tasks x hours x replicates partial sums, whatever
+the number of posts. Rows with equal ids draw alike.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as v
-from ..session import broadcast_if_small, cut_lineage
 
 METRIC_COLUMNS = ("keyword_signal", "tfidf_signal", "combined_signal")
 
@@ -165,60 +158,3 @@ def poisson_intervals(
     metrics=METRIC_COLUMNS, key="tweet_id",
 ) -> DataFrame:
     return intervals(block_sums(scored, by, replicates, metrics, key), by, replicates, alpha, metrics)
-
-
-def exact_intervals(
-    scored: DataFrame, by="time", replicates=v.BOOTSTRAP_REPLICATES, alpha=v.BOOTSTRAP_ALPHA,
-    metrics=METRIC_COLUMNS, key="tweet_id", order="ts", seed=v.BOOTSTRAP_SEED,
-) -> DataFrame:
-    """Seeded resampling per group, newest post first. For groups of bounded size only."""
-    import numpy as np
-    import pandas as pd
-
-    names = [by] + [c for m in metrics for c in (m, _bound(m, "low"), _bound(m, "high"))] + ["tweet_count"]
-    percents = [alpha / 2 * 100, (1 - alpha / 2) * 100]
-
-    def resample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, key], ascending=[False, True], kind="stable")
-        values = group[list(metrics)].to_numpy(dtype="float64")
-        draw = np.random.default_rng(seed)
-        n = len(values)
-        means = np.empty((replicates, values.shape[1]))
-        # Rows of one draw are the successive draws of the generator; the chunk bounds memory.
-        chunk = max(1, 1_000_000 // n)
-        for b in range(0, replicates, chunk):
-            picked = draw.integers(0, n, size=(min(chunk, replicates - b), n))
-            for k in range(values.shape[1]):
-                means[b : b + chunk, k] = values[picked, k].mean(axis=1)
-        low, high = np.percentile(means, percents, axis=0)
-        row = [group[by].iloc[0]]
-        for k, mean in enumerate(values.mean(axis=0)):
-            row += [mean, low[k], high[k]]
-        return pd.DataFrame([row + [n]], columns=names)
-
-    kind = scored.schema[by].dataType.simpleString()
-    fields = [f"{by} {kind}"] + [f"{c} double" for c in names[1:-1]] + ["tweet_count bigint"]
-    # A given number of partitions is kept as it is: the work per row is large for its bytes.
-    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = scored.select(by, key, order, *metrics).repartition(tasks, by)
-    return gathered.groupBy(by).applyInPandas(resample, ", ".join(fields))
-
-
-def auto_intervals(
-    scored: DataFrame, by="time", replicates=v.BOOTSTRAP_REPLICATES, alpha=v.BOOTSTRAP_ALPHA,
-    metrics=METRIC_COLUMNS, key="tweet_id", order="ts", seed=v.BOOTSTRAP_SEED, max_group: int = 5_000,
-) -> DataFrame:
-    """Exact resampling for groups up to `max_group` posts, Poisson for larger ones.
-
-    The scored posts are narrow and used three times, so they are written to the shared folder once.
-    """
-    scored = cut_lineage(scored.select(by, key, order, *metrics), "scored-posts")
-    big = scored.groupBy(by).count().where(F.col("count") > max_group).select(by)
-    big = broadcast_if_small(big)
-    small_groups = exact_intervals(
-        scored.join(big, by, "left_anti"), by, replicates, alpha, metrics, key, order, seed
-    )
-    large_groups = poisson_intervals(
-        scored.join(big, by, "left_semi"), by, replicates, alpha, metrics, key
-    )
-    return small_groups.unionByName(large_groups)

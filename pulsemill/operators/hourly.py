@@ -1,6 +1,6 @@
 """Hourly series."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as v
 from ..functions import (
@@ -13,12 +13,6 @@ from ..functions import (
 from ..schema import METRICS
 from . import bootstrap, tfidf
 
-_METHODS = {
-    "poisson": bootstrap.poisson_intervals,
-    "auto": bootstrap.auto_intervals,
-}
-
-
 def with_keyword_signal(posts: DataFrame) -> DataFrame:
     """Add `sentiment`, `weight` and `keyword_signal`."""
     return posts.withColumns(
@@ -29,12 +23,22 @@ def with_keyword_signal(posts: DataFrame) -> DataFrame:
     ).withColumn("keyword_signal", keyword_signal(F.col("sentiment"), F.col("weight")))
 
 
+def draw_key(posts: DataFrame) -> Column:
+    """What a post's bootstrap counts are drawn from: id, else address, else a hash of text and time."""
+    blank = F.lit("")
+    named = [F.nullif(F.col(c).cast("string"), blank) for c in ("tweet_id", "url") if c in posts.columns]
+    return F.coalesce(*named, F.xxhash64("content", "ts").cast("string"))
+
+
 def score_posts(posts: DataFrame, model: tfidf.TermModel) -> DataFrame:
-    """`(time, tweet_id, ts, three signals)`: everything an hourly series needs, without the text."""
+    """`(time, tweet_id, ts, three signals)`: everything an hourly series needs, without the text.
+
+    A blank id is replaced, see `draw_key`.
+    """
     scored = tfidf.score(with_keyword_signal(posts.where(F.col("ts").isNotNull())), model)
     return scored.select(
         hour_start(F.col("ts")).alias("time"),
-        "tweet_id",
+        draw_key(scored).alias("tweet_id"),
         "ts",
         "keyword_signal",
         "tfidf_signal",
@@ -52,11 +56,9 @@ def hourly_keyword(posts: DataFrame) -> DataFrame:
     )
 
 
-def hourly_signals(scored: DataFrame, mode="poisson", replicates=v.BOOTSTRAP_REPLICATES, **options) -> DataFrame:
+def hourly_signals(scored: DataFrame, replicates=v.BOOTSTRAP_REPLICATES, **options) -> DataFrame:
     """Mean and interval of each signal per hour that has posts."""
-    if mode not in _METHODS:
-        raise ValueError(f"unknown mode: {mode}")
-    return _METHODS[mode](scored, by="time", replicates=replicates, **options)
+    return bootstrap.poisson_intervals(scored, by="time", replicates=replicates, **options)
 
 
 def dense_hours(hourly: DataFrame, count="tweet_count") -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import TOPIC_RULES, WORD_CLASS
 
-# Above this many words the rules are joined as a table instead of folded into one expression.
-MAX_FOLDED_WORDS = 500
-
 
 def parse_rules(rules=TOPIC_RULES):
     """(order, label, clauses) per rule: OR between clauses, AND between the words of one."""
@@ -45,8 +42,6 @@ def topic_label(tokens: Column, rules=TOPIC_RULES) -> Column:
 def match_topics(posts: DataFrame, rules=TOPIC_RULES) -> DataFrame:
     """Posts with a `topic` label, found without a join; unmatched posts get NULL."""
     wanted = {w for _, _, clauses in parse_rules(rules) for words in clauses for w in words}
-    if len(wanted) > MAX_FOLDED_WORDS:
-        raise ValueError("too many rules for one expression; use match_topic_table")
     tokens = posts.withColumn("_tokens", topic_tokens(F.col("content"), wanted))
     return tokens.withColumn("topic", topic_label(F.col("_tokens"), rules)).drop("_tokens")
 
@@ -54,19 +49,22 @@ def match_topics(posts: DataFrame, rules=TOPIC_RULES) -> DataFrame:
 def rule_words(rules: DataFrame) -> DataFrame:
     """Rule table `(ord, label, clauses ARRAY<ARRAY<STRING>>)` to one row per clause word."""
     clause = rules.select("ord", "label", F.posexplode("clauses").alias("clause", "words"))
-    words = clause.select("ord", "label", "clause", F.array_distinct("words").alias("words"))
+    lower = F.transform("words", lambda w: F.lower(w))
+    words = clause.select("ord", "label", "clause", F.array_distinct(lower).alias("words"))
     return words.select(
         "ord", "label", "clause", F.size("words").alias("needed"), F.explode("words").alias("word")
     )
 
 
-def match_topic_table(posts: DataFrame, rules: DataFrame, key="tweet_id") -> DataFrame:
-    """`(key, topic)` of matched posts for a rule table of any size.
+def match_topic_table(posts: DataFrame, rules: DataFrame) -> DataFrame:
+    """As `match_topics`, for a rule table of any size.
 
-    An equi-join on the word; Spark picks the join by the size of the rule table. Partial counts
-    are taken before the shuffle, and a post meets at most the rules that share a word with it.
+    A label depends on the text alone, so texts are labelled once each, by digest, and labels joined back. The words
+    of the texts are equi-joined with the rules' words; a text meets at most the rules that share one with it.
     """
-    words = posts.select(key, F.explode(topic_tokens(F.col("content"))).alias("word"))
-    hits = words.join(rule_words(rules), "word").groupBy(key, "ord", "clause", "label", "needed")
-    full = hits.agg(F.count_distinct("word").alias("met")).where(F.col("met") == F.col("needed"))
-    return full.groupBy(key).agg(F.min_by("label", "ord").alias("topic"))
+    keyed = posts.withColumn("_text", F.sha2(F.coalesce("content", F.lit("")), 256))
+    words = keyed.select("_text", F.explode(topic_tokens(F.col("content"))).alias("word"))
+    hits = words.join(rule_words(rules), "word").distinct().groupBy("_text", "ord", "clause", "label", "needed")
+    full = hits.count().where(F.col("count") == F.col("needed"))
+    labels = full.groupBy("_text").agg(F.min_by("label", "ord").alias("topic"))
+    return keyed.join(labels, "_text", "left").drop("_text")

@@ -6,7 +6,7 @@ type, a hashtag and a mention. Some ids and addresses repeat. The SQL twin is in
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread_small, use_utc
+from ..session import use_utc
 
 PHRASES = {
     "purchase": " buy nifty options breakout",
@@ -28,9 +28,9 @@ def _shifted(every: int, at: int) -> Column:
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed posts with `ts`, `date` and the arrival number `seq`."""
     use_utc(spark)
-    documents = spread_small(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
     size = documents.agg(F.count("*").alias("n")).scalar()
-    events = spread_small(_table(spark, sf_dir, "events"))
+    events = _table(spark, sf_dir, "events").repartition("event_id")  # the tables may be one file each
     events = events.withColumn("doc_id", F.col("event_id") % size)
     kind = F.col("event_type")
     phrase = F.coalesce(*[F.when(kind == k, p) for k, p in PHRASES.items()], F.lit(""))
