@@ -95,6 +95,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = "byte_bpe_50k.jso
     fresh = fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # repeated rows
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
 
-    return keyed.join(_cached(spark, cache, version), "content").select(
+    # Counts read from files are not bound to the join's partitions: Spark can split a content with very many copies.
+    counts = cut_lineage(_cached(spark, cache, version), "counts")
+    return keyed.join(counts, "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
