@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.llm.arrow_text import Words, pieces
 from pulsemill.llm.bitmap import bitmap, in_bitmap
+from pulsemill.llm.names import free_name
 from pulsemill.session import cut_lineage
 
 WINDOW = 10
@@ -86,9 +87,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **bounds: int) -> DataFrame:
     """The documents that hold no window of the benchmark, all columns as they are."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    key = free_name(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     bad = decontaminate(docs, benchmark, **bounds).where("contaminated").select("doc_id", "text_key").distinct()
-    return keyed.join(bad, _same(keyed, bad), "left_anti").select(*[keyed[c] for c in docs.columns])
+    same = keyed.doc_id.eqNullSafe(bad.doc_id) & (keyed[key] == bad.text_key)
+    return keyed.join(bad, same, "left_anti").select(*[keyed[c] for c in docs.columns])
 
 
 def _same(a: DataFrame, b: DataFrame):

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pulsemill.llm.names import free_name
 from pulsemill.session import cut_lineage
 
 SEED = 20_240
@@ -146,13 +147,19 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS) -> Da
 
 
 def mixed(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents the mix takes words of, all columns as they are, with size, source_size, target and taken."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    """The documents the mix takes words of, all columns as they are, with size, source_size, target and taken.
+
+    Where `docs` has a column of one of these names, its own is kept.
+    """
+    key, at = free_name(docs, "text_key"), free_name(docs, "number")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     plan = mix(docs, **how).where("taken > 0")
+
     # Rows that agree in id, source and text are told apart by their number.
-    same = ["doc_id", "source", "text_key"]
-    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    a, b = keyed.withColumn("number", number), plan.withColumn("number", number)
-    on = a.doc_id.eqNullSafe(b.doc_id) & a.source.eqNullSafe(b.source) & (a.text_key == b.text_key) & (a.number == b.number)
+    def numbered(df, key, at):
+        return df.withColumn(at, F.row_number().over(Window.partitionBy("doc_id", "source", key).orderBy(F.lit(0))))
+
+    a, b = numbered(keyed, key, at), numbered(plan, "text_key", "number")
+    on = a.doc_id.eqNullSafe(b.doc_id) & a.source.eqNullSafe(b.source) & (a[key] == b.text_key) & (a[at] == b.number)
     extra = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
     return a.join(b, on).select(*[a[c] for c in docs.columns], *[b[c] for c in extra])

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemill.llm.arrow_text import Words, pieces
 from pulsemill.llm.bitmap import bitmap, in_bitmap
+from pulsemill.llm.names import free_name
 from pulsemill.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -184,20 +185,21 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     All columns as they are but text and, where there is one, n_chars (length of the new text). Where spans
     overlap, their union is replaced by the kind of the first.
     """
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    key, spans_name = free_name(docs, "text_key"), free_name(docs, "pii_spans")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(0.0).alias("share")))
     found = find(docs, **how).where(F.size("base") > 0).dropDuplicates(["doc_id", "text_key"])
     found = found.select(
-        F.col("doc_id").alias("in_doc"), F.col("text_key").alias("in_text"), F.sort_array(F.concat(plain, "terms")).alias("pii_spans")
+        F.col("doc_id").alias("in_doc"), F.col("text_key").alias("in_text"), F.sort_array(F.concat(plain, "terms")).alias(spans_name)
     )
-    same = keyed.doc_id.cast("bigint").eqNullSafe(found.in_doc) & (keyed.text_key == found.in_text)
-    joined = keyed.join(found, same, "left").select(*[keyed[c] for c in docs.columns], "pii_spans")
+    same = keyed.doc_id.cast("bigint").eqNullSafe(found.in_doc) & (keyed[key] == found.in_text)
+    joined = keyed.join(found, same, "left").select(*[keyed[c] for c in docs.columns], found[spans_name])
     names = docs.columns
     place = names.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            spans = batch.column("pii_spans").to_pylist()
+            spans = batch.column(spans_name).to_pylist()
             columns = list(batch.columns[:-1])
             if any(spans):
                 texts = [_rewritten(t, s, remove) if s else t for t, s in zip(columns[place].to_pylist(), spans)]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.llm.arrow_text import pieces
 from pulsemill.llm.components import forest, smallest_reachable
+from pulsemill.llm.names import free_name
 from pulsemill.session import cut_lineage
 
 RADIUS = 2
@@ -205,6 +206,7 @@ def keep_one(docs: DataFrame, **how: int) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
     kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min(key).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    same = keyed.doc_id.eqNullSafe(kept.kept_id) & (keyed.text_key == kept.kept_key)
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    name = free_name(docs, "text_key")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    same = keyed.doc_id.eqNullSafe(kept.kept_id) & (keyed[name] == kept.kept_key)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).select(*docs.columns)
