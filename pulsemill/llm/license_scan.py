@@ -135,7 +135,7 @@ def _licenses(words: Words, t: Templates) -> list[list[dict]]:
         for p in hits:
             if p <= done:
                 continue
-            some = hits[(hits >= p) & (hits < p + reach)]
+            some = hits[np.searchsorted(hits, p) : np.searchsorted(hits, p + reach)]
             share = len(np.unique(h[some])) / len(own)
             if share >= CONTAINED:
                 done = p + reach - 1
