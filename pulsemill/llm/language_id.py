@@ -84,15 +84,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Count words and n-grams of documents outside the held-out part that have a `lang`."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", "lang")
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= fit_docs)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    chosen = _chosen(docs, fit_docs)
     # `fit_docs` narrow rows of each language.
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
 
@@ -130,6 +122,37 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams:
     return _model(kept)
 
 
+def _chosen(docs: DataFrame, fit_docs: int) -> DataFrame:
+    """doc_id and lang of the sample; repeated rows count towards `fit_docs`.
+
+    Hashes are counted by their first 16 bits, so that only rows of the slots the sample reaches into
+    are ordered by language, however many a language has.
+    """
+    draw = F.xxhash64("doc_id")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "doc_id", "lang", draw.alias("draw"), F.shiftright(draw, 48).alias("slot")
+    )
+    before = Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    reached = (
+        labelled.groupBy("lang", "slot")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where(F.col("before") < fit_docs)
+        .groupBy(F.col("lang").alias("of"))
+        .agg(F.max("slot").alias("last"))
+    )
+    # One row of each language.
+    near = labelled.join(F.broadcast(reached), (F.col("lang") == F.col("of")) & (F.col("slot") <= F.col("last")))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    return (
+        near.select("doc_id", "lang", "draw")
+        .distinct()
+        .withColumn("n", F.row_number().over(order))
+        .where(F.col("n") <= fit_docs)
+        .select("doc_id", "lang")
+    )
+
+
 def _model(kept: pa.Table) -> Model:
     languages = sorted(set(kept.column("lang").to_pylist()))
     number = {lang: k for k, lang in enumerate(languages)}

@@ -217,6 +217,15 @@ def test_language_of_held_out_rows(spark, sf_dir):
     assert {r.lang_pred for r in language_id.identify(table(spark), language_id.train(empty(spark))).collect()} == {"und"}
 
 
+def test_language_sample_is_that_of_the_smallest_hashes(spark):
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 < 7, "a").when(F.col("id") % 9 < 8, "b").alias("lang"))
+    usable = docs.where(F.col("lang").isNotNull() & ~language_id.held_out(F.col("doc_id"))).select("*", F.xxhash64("doc_id").alias("h")).collect()
+    for size in (1, 100, 1_000):
+        got = sorted((r.lang, r.doc_id) for r in language_id._chosen(docs, size).collect())
+        want = [(lang, r.doc_id) for lang in "ab" for r in sorted((r for r in usable if r.lang == lang), key=lambda r: r.h)[:size]]
+        assert got == sorted(want)
+
+
 def test_secrets(spark):
     names = "|".join("".join(f"[{c}{c.upper()}]" for c in n) for n in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
     kinds = [
