@@ -125,12 +125,12 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams:
 def _chosen(docs: DataFrame, fit_docs: int) -> DataFrame:
     """doc_id and lang of the sample; repeated rows count towards `fit_docs`.
 
-    Hashes are counted by their first 16 bits, so that only rows of the slots the sample reaches into
+    Hashes are counted by their first 12 bits, so that only rows of the slots the sample reaches into
     are ordered by language, however many a language has.
     """
     draw = F.xxhash64("doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "doc_id", "lang", draw.alias("draw"), F.shiftright(draw, 48).alias("slot")
+        "doc_id", "lang", draw.alias("draw"), F.shiftright(draw, 52).alias("slot")
     )
     before = Window.partitionBy("lang").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     reached = (
