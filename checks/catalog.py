@@ -308,8 +308,8 @@ def tagged(spark, sf_dir):
     posts = event_posts(spark, sf_dir)
     return posts.withColumns(
         {
-            "hashtags": fn.hashtags(F.when(F.col("reply_count") > 0, F.col("content"))),
-            "mentions": fn.mentions(F.when(F.col("reply_count") > 2, F.col("content"))),
+            "hashtags": fn.hashtags(F.col("content")),
+            "mentions": fn.mentions(F.col("content")),
         }
     )
 
@@ -423,8 +423,8 @@ def hourly_bootstrap(spark, sf_dir):
 
 
 def hourly_dense(spark, sf_dir):
-    popular = event_posts(spark, sf_dir).where(F.col("like_count") > 150)
-    return rounded(hourly.dense_hours(hourly.hourly_keyword(popular)), "keyword_signal")
+    found = hourly.hourly_keyword(event_posts(spark, sf_dir))
+    return rounded(hourly.dense_hours(found), "keyword_signal")
 
 
 def hourly_signals(spark, sf_dir):

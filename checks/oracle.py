@@ -329,8 +329,8 @@ ORACLE["posts_per_date"] = select(POSTS, body="SELECT date, count(*) AS posts FR
 TAGGED = f"""
 tagged AS (
   SELECT like_count,
-         CASE WHEN reply_count > 0 THEN regexp_extract_all(content, '#{WORD}+') ELSE [] END AS h,
-         CASE WHEN reply_count > 2 THEN regexp_extract_all(content, '@{WORD}+') ELSE [] END AS m
+         regexp_extract_all(content, '#{WORD}+') AS h,
+         regexp_extract_all(content, '@{WORD}+') AS m
   FROM posts
 )"""
 ORACLE["tag_coverage"] = select(
@@ -498,15 +498,15 @@ FROM scored GROUP BY time""",
 ORACLE["hourly_dense"] = select(
     POSTS,
     SCORED,
-    """popular AS (
+    """filled AS (
   SELECT time, round(avg(sentiment * weight), 6) AS keyword_signal, count(*) AS tweet_count
-  FROM scored WHERE like_count > 150 GROUP BY time
+  FROM scored GROUP BY time
 )""",
     """hours AS (
-  SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM popular
+  SELECT unnest(generate_series(min(time), max(time), INTERVAL 1 HOUR)) AS time FROM filled
 )""",
     body="""SELECT time, keyword_signal, coalesce(tweet_count, 0) AS tweet_count
-FROM hours LEFT JOIN popular USING (time)""",
+FROM hours LEFT JOIN filled USING (time)""",
 )
 
 # The Poisson bootstrap of pulsemill.operators.bootstrap, step by step.
