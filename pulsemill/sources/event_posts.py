@@ -30,14 +30,16 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
     documents = _table(spark, sf_dir, "documents")
     size = documents.agg(F.count("*").alias("n")).scalar()
-    events = _table(spark, sf_dir, "events").repartition("event_id")  # the tables may be one file each
-    events = events.withColumn("doc_id", F.col("event_id") % size)
+    # A shuffled join deals both sides by doc_id anyway. Done here, a broadcast join too runs on all cores where the
+    # tables are one file each. Ids leave remainders evenly, so no part is hot.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = _table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % size).repartition(parts, "doc_id")
     kind = F.col("event_type")
     phrase = F.coalesce(*[F.when(kind == k, p) for k, p in PHRASES.items()], F.lit(""))
     user = F.concat(F.lit("@u"), F.col("user_id").cast("string"))
     post_id = _shifted(20, 1)
     ts = F.col("ts").cast("timestamp")
-    joined = events.join(documents.select("doc_id", "text"), "doc_id")
+    joined = events.join(documents.select("doc_id", "text").repartition(parts, "doc_id"), "doc_id")
     return joined.select(
         post_id.cast("string").alias("tweet_id"),
         F.concat(user, F.when(F.col("user_id") % 37 == 0, "bot").otherwise("")).alias("username"),
