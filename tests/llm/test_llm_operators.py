@@ -100,6 +100,33 @@ def test_simhash_components(spark):
     assert simhash_dedup.near_components(empty(spark)).count() == 0 and simhash_dedup.keep_one(empty(spark)).count() == 0
 
 
+def test_stage_keeps_one_of_similar_texts(spark):
+    draw = np.random.default_rng(5)
+    texts = [None, "", " ", "one two", "ONE  two", "one three"]
+    for n in range(12):
+        base = [f"t{n}v{x}" for x in draw.integers(0, 500, 60 + 40 * n)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            edited = list(base)
+            for at in draw.choice(len(base), max(1, int(draw.uniform(0.005, 0.04) * len(base))), replace=False):
+                edited[at] = f"new{draw.integers(1 << 30)}"
+            texts.append(" ".join(edited))
+    words = [[w.translate(LOWER) for w in (t or "").split()] for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    alike = lambda a, b: not (a | b) or 5 * len(a & b) >= 4 * len(a | b)
+    near = np.array([[alike(a, b) for b in sets] for a in sets])
+    label = np.arange(len(texts))
+    while not ((fresh := np.array([label[m].min() for m in near])) == label).all():
+        label = fresh
+    docs = spark.createDataFrame([(n, t, "en") for n, t in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING").repartition(3)
+    kept = simhash_dedup.keep_dissimilar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label.tolist()))
+    assert simhash_dedup.keep_dissimilar(docs.limit(0)).count() == 0
+    rows = draw.integers(0, 1 << 63, (1000, 2), dtype=np.uint64)
+    assert (simhash_dedup._tally(rows) == np.unpackbits(rows.astype(">u8").view(np.uint8), axis=1).sum(axis=0)).all()
+
+
 @pytest.mark.parametrize("range_size", [16, 300])
 def test_gray_index_loses_no_link(spark, range_size):
     draw = np.random.default_rng(range_size)
