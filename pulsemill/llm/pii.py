@@ -4,7 +4,8 @@ Addresses, numbers and phones found by pattern are protected entities. From all
 much a word near an entity tells of it: the pointwise mutual information of word and entity,
 log(N n_ct / (n_c n_t)), as a share of the entity's information content log(N / n_c). A share of 1 means that the word occurs
 only with that entity. Words above `REMOVE` are removed, those above `GENERALISE` replaced by their kind; the entities
-themselves are replaced by theirs.
+themselves are replaced by theirs. Such words go from the whole text: every occurrence in a document that holds the entity,
+or, with `everywhere`, in every document.
 
 n_ct and n_c count different surroundings, so that copies of a document are one witness; a pair needs `SUPPORT` of
 them. N and n_t count documents; only words that such a pair names are counted, through a bitmap of fixed size.
@@ -79,25 +80,37 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Places:
+    """Where the words of one text are, in characters."""
+
+    def __init__(self, text: str, words: Words, doc: int):
+        self.first, last = int(words.first[doc]), int(words.first[doc + 1])
+        self.words, self.base = words, int(words.offsets[doc])
+        # Code points up to each byte of the text, to turn byte into character positions.
+        raw = words.data[self.base : int(words.offsets[doc + 1])]
+        self.points = np.cumsum((raw & 0xC0) != 0x80) if len(raw) != len(text) else None
+        starts = words.start[self.first : last] - self.base
+        self.begins = starts if self.points is None else self.points[starts] - 1
+
+    def word(self, k: int, spans) -> dict | None:
+        """Word k of the text, unless it stands in a span."""
+        byte = int(self.words.end[self.first + k]) - self.base
+        low, high = int(self.begins[k]), byte if self.points is None else int(self.points[byte - 1])
+        if any(s < high and low < e for s, _, e in spans):
+            return None
+        return {"term": int(self.words.hash[self.first + k].view(np.int64)), "start": low, "end": high}
+
+
 def _mentions(text: str, spans, words: Words, doc: int, reach: int):
     """For each entity its hash, the hash of its surroundings and the words in them."""
-    first, last = int(words.first[doc]), int(words.first[doc + 1])
-    base = int(words.offsets[doc])
-    # Code points up to each byte of the text, to turn byte into character positions.
-    raw = words.data[base : int(words.offsets[doc + 1])]
-    points = np.cumsum((raw & 0xC0) != 0x80) if len(raw) != len(text) else None
-    to_point = lambda byte: byte if points is None else (int(points[byte - 1]) if byte else 0)
-    starts = words.start[first:last] - base
-    begins = starts if points is None else points[starts] - 1
+    places = _Places(text, words, doc)
+    begins = places.begins
     out = []
     for start, kind, end in spans:
         value = text[start:end].lower() if kind == 0 else "".join(_DIGITS.findall(text[start:end])) if kind else text[start:end]
         a, b = int(np.searchsorted(begins, start)), int(np.searchsorted(begins, end))
-        near = []
-        for k in [*range(max(0, a - reach), a), *range(b, min(len(begins), b + reach))]:
-            low, high = int(begins[k]), to_point(int(words.end[first + k]) - base)
-            if not any(s < high and low < e for s, _, e in spans):
-                near.append({"term": int(words.hash[first + k].view(np.int64)), "start": low, "end": high})
+        near = [places.word(k, spans) for k in [*range(max(0, a - reach), a), *range(b, min(len(begins), b + reach))]]
+        near = [w for w in near if w]
         around = xxhash.xxh64_intdigest(np.array([w["term"] for w in near], np.int64).tobytes())
         entity = xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}".encode("utf-8", "replace"))
         out.append({"entity": _signed(entity), "around": _signed(around), "words": near})
@@ -108,8 +121,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """Entities and disclosing terms of every document row.
+def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE, everywhere: bool = False) -> DataFrame:
+    """Entities and disclosing terms of every document row; terms `everywhere`, or where the document holds their entity.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, text_key (xxhash64 of the text), base and terms: arrays
     of (start, kind, end) by start, kind a number in KINDS, code points, end exclusive, terms with `share`. NULL and
@@ -132,9 +145,14 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     scanned = cut_lineage(rows.mapInArrow(scan, _SCANNED), "entities")
     mentions = scanned.where(F.size("mentions") > 0).select("doc_id", "text_key", F.inline("mentions"))
     near = mentions.select("doc_id", "text_key", "entity", "around", F.inline("words"))
-    flagged = _disclosing(rows, scanned.count(), mentions, near, support, threshold)
+    flagged = cut_lineage(_disclosing(rows, scanned.count(), mentions, near, support, threshold), "flagged")
+    if everywhere:
+        named = _occurrences(rows, flagged).join(flagged.groupBy("term").agg(F.max("share").alias("share")), "term")
+    else:
+        held = mentions.select("text_key", "entity").distinct().join(flagged, "entity")
+        named = _occurrences(rows, flagged).join(held.groupBy("text_key", "term").agg(F.max("share").alias("share")), ["text_key", "term"])
     place = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "share")
-    terms = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))
+    terms = named.groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))
     terms = terms.groupBy(F.col("doc_id").alias("in_doc"), F.col("text_key").alias("in_text"))
     terms = terms.agg(F.sort_array(F.collect_list(place)).alias("terms"))
     same = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_key") == F.col("in_text"))
@@ -144,6 +162,28 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
     )
 
 
+def _occurrences(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """doc_id, text_key, term, start and end of the flagged terms in all texts, outside of entities; and of a few other words."""
+    bits = bitmap(flagged.select("term").distinct(), "term")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words = Words(batch.column("text"))
+            hit = np.flatnonzero(in_bitmap(bits.value, words.hash))
+            docs, cuts = np.unique(words.doc[hit], return_index=True)
+            lists = [[] for _ in range(batch.num_rows)]
+            for doc, at in zip(docs.tolist(), np.split(hit, cuts[1:])):
+                text = batch.column("text")[doc].as_py()
+                places, spans = _Places(text, words, doc), base_spans(text)
+                lists[doc] = [w for k in at.tolist() if (w := places.word(k - places.first, spans))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(lists, _ARROW_WORDS)], names=["doc_id", "text_key", "words"]
+            )
+
+    found = rows.mapInArrow(scan, f"doc_id bigint, text_key bigint, words array<{_WORD}>")
+    return found.select("doc_id", "text_key", F.inline("words"))
+
+
 def _disclosing(rows: DataFrame, n: int, mentions: DataFrame, near: DataFrame, support: int, threshold: float) -> DataFrame:
     """(entity, term, share) of the pairs above the threshold; `n` documents."""
     together = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
@@ -188,7 +228,7 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     key, spans_name = free_name(docs, "text_key"), free_name(docs, "pii_spans")
     keyed = docs.withColumn(key, F.xxhash64("text"))
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"], F.lit(0.0).alias("share")))
-    found = find(docs, **how).where(F.size("base") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = find(docs, **how).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_key"])
     found = found.select(
         F.col("doc_id").alias("in_doc"), F.col("text_key").alias("in_text"), F.sort_array(F.concat(plain, "terms")).alias(spans_name)
     )
@@ -228,12 +268,13 @@ def _rewritten(text: str, spans: list[dict], remove: float) -> str:
 
 
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+_ARROW_WORDS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 _ARROW_MENTIONS = pa.list_(
     pa.struct(
         [
             ("entity", pa.int64()),
             ("around", pa.int64()),
-            ("words", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))),
+            ("words", _ARROW_WORDS),
         ]
     )
 )

@@ -74,7 +74,7 @@ def op9_simhash_dedup(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(table(spark, sf_dir, "documents"), everywhere=True)
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
     plain = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.select(

@@ -302,6 +302,19 @@ def test_terms_that_disclose_an_entity(spark):
     assert pii.sanitise(docs).count() == docs.count()
 
 
+def test_disclosing_terms_go_from_whole_texts(spark):
+    far = " ".join(f"é{n}" for n in range(20))
+    texts = [f"alpha{n} beta{n} zorblax wrote from jo@ex.org the note{n} today {n} {far} Zorblax too" for n in range(4)]
+    texts += [f"filler{n} the common text{n} {far}" for n in range(60)] + ["é zorblax lives alone", None, ""]
+    docs = table(spark, texts)
+    named = lambda rows, d: [texts[d][t.start : t.end] for t in by_id(rows)[d].terms]
+    own, every = pii.find(docs).collect(), pii.find(docs, everywhere=True).collect()
+    assert "Zorblax" in named(own, 0) and not named(own, 64)
+    assert named(every, 0) == named(own, 0) and named(every, 64) == ["zorblax"] and not named(every, 5)
+    clean = by_id(pii.sanitise(docs, everywhere=True).collect())
+    assert not any("zorblax" in (r.text or "").lower() for r in clean.values()) and clean[65].text is None
+
+
 def test_licenses(spark):
     texts = [*TEXTS, " ".join(["pad"] * 31) + " Released under the MIT License. tail", "under the Apache License only"]
     texts += [f"{'x ' * k}This work is licensed under the GNU General Public License, version 3." for k in range(12)]
