@@ -1,14 +1,16 @@
 """Personal data: patterns, and terms that give the patterns' values away.
 
 Addresses, numbers and phones found by pattern are protected entities. From all documents it is estimated how
-much a word near an entity tells of it: the pointwise mutual information of word and entity,
-log(N n_ct / (n_c n_t)), as a share of the entity's information content log(N / n_c). A share of 1 means that the word occurs
+much a word near an entity tells of it: the pointwise mutual information of word and entity, log(P(c|t) / P(c)), as a
+share of the entity's information content -log P(c). A share of 1 means that the word occurs
 only with that entity. Words above `REMOVE` are removed, those above `GENERALISE` replaced by their kind; the entities
 themselves are replaced by theirs. Such words go from the whole text: every occurrence in a document that holds the entity,
 or, with `everywhere`, in every document.
 
-n_ct and n_c count different surroundings, so that copies of a document are one witness; a pair needs `SUPPORT` of
-them. N and n_t count documents; only words that such a pair names are counted, through a bitmap of fixed size.
+All counts are of different texts, so that copies are one witness: N texts, n_c with the entity, n_t with the word, n_ct
+with the word near the entity. P(c) is n_c / N, and P(c|t) is (n_ct + PRIOR P(c)) / (n_t + PRIOR), as if PRIOR more texts
+named the word and held the entity as often as any. That decides for entities seen once too, with more caution the fewer
+witnesses there are. Only words near an entity are counted, through a bitmap of fixed size.
 """
 
 import re
@@ -27,7 +29,7 @@ from pulsemill.session import cut_lineage
 KINDS = ("email", "ip", "card", "phone", "term")
 # Words before and after an entity that are its surroundings.
 REACH = 8
-SUPPORT = 3
+PRIOR = 2
 GENERALISE = 0.75
 REMOVE = 0.9
 
@@ -41,7 +43,7 @@ _DIGITS = re.compile(r"[0-9]")
 
 _SPAN = "struct<start: bigint, kind: int, end: bigint>"
 _WORD = "struct<term: bigint, start: bigint, end: bigint>"
-_SCANNED = f"doc_id bigint, text_key bigint, spans array<{_SPAN}>, mentions array<struct<entity: bigint, around: bigint, words: array<{_WORD}>>>"
+_SCANNED = f"doc_id bigint, text_key bigint, spans array<{_SPAN}>, mentions array<struct<entity: bigint, words: array<{_WORD}>>>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -102,7 +104,7 @@ class _Places:
 
 
 def _mentions(text: str, spans, words: Words, doc: int, reach: int):
-    """For each entity its hash, the hash of its surroundings and the words in them."""
+    """For each entity its hash and the words around it."""
     places = _Places(text, words, doc)
     begins = places.begins
     out = []
@@ -111,9 +113,8 @@ def _mentions(text: str, spans, words: Words, doc: int, reach: int):
         a, b = int(np.searchsorted(begins, start)), int(np.searchsorted(begins, end))
         near = [places.word(k, spans) for k in [*range(max(0, a - reach), a), *range(b, min(len(begins), b + reach))]]
         near = [w for w in near if w]
-        around = xxhash.xxh64_intdigest(np.array([w["term"] for w in near], np.int64).tobytes())
         entity = xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}".encode("utf-8", "replace"))
-        out.append({"entity": _signed(entity), "around": _signed(around), "words": near})
+        out.append({"entity": _signed(entity), "words": near})
     return out
 
 
@@ -121,7 +122,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE, everywhere: bool = False) -> DataFrame:
+def find(docs: DataFrame, reach: int = REACH, prior: float = PRIOR, threshold: float = GENERALISE, everywhere: bool = False) -> DataFrame:
     """Entities and disclosing terms of every document row; terms `everywhere`, or where the document holds their entity.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, text_key (xxhash64 of the text), base and terms: arrays
@@ -144,8 +145,8 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, threshold:
 
     scanned = cut_lineage(rows.mapInArrow(scan, _SCANNED), "entities")
     mentions = scanned.where(F.size("mentions") > 0).select("doc_id", "text_key", F.inline("mentions"))
-    near = mentions.select("doc_id", "text_key", "entity", "around", F.inline("words"))
-    flagged = cut_lineage(_disclosing(rows, scanned.count(), mentions, near, support, threshold), "flagged")
+    near = mentions.select("doc_id", "text_key", "entity", F.inline("words"))
+    flagged = cut_lineage(_disclosing(rows, scanned.select("text_key"), mentions, near, prior, threshold), "flagged")
     if everywhere:
         named = _occurrences(rows, flagged).join(flagged.groupBy("term").agg(F.max("share").alias("share")), "term")
     else:
@@ -184,30 +185,38 @@ def _occurrences(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_key", F.inline("words"))
 
 
-def _disclosing(rows: DataFrame, n: int, mentions: DataFrame, near: DataFrame, support: int, threshold: float) -> DataFrame:
-    """(entity, term, share) of the pairs above the threshold; `n` documents."""
-    together = near.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    together = cut_lineage(together.where(F.col("n_ct") >= support), "pairs")
-    alone = mentions.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    named = together.select("term").distinct()
-    bits = bitmap(named, "term")
+def _disclosing(rows: DataFrame, keys: DataFrame, mentions: DataFrame, near: DataFrame, prior: float, threshold: float) -> DataFrame:
+    """(entity, term, share) of the pairs above the threshold; `keys` are the text_key of all rows."""
+    together = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    together = cut_lineage(together, "pairs")
+    alone = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    bits = bitmap(together.select("term").distinct(), "term")
+    copies = cut_lineage(keys.groupBy("text_key").agg(F.count("*").alias("n")), "copies")
+    total = F.lit(float(copies.count()))
+    repeated = bitmap(copies.where("n > 1"), "text_key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of texts that may be repeated with their text, all others summed."""
         for batch in pieces(batches):
-            words = Words(batch.column("text"))
+            words, keys = Words(batch.column("text")), batch.column("text_key").to_numpy()
             hit = np.flatnonzero(in_bitmap(bits.value, words.hash))
-            once = np.unique(np.stack([words.doc[hit].astype(np.uint64), words.hash[hit]]), axis=1)[1] if len(hit) else words.hash[:0]
-            term, times = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(times.astype(np.int64))], names=["term", "n"])
-
-    in_docs = rows.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = F.lit(float(n))
-    shared = F.log(total * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    content = F.log(total / F.col("n_c"))
+            doc, once = np.unique(np.stack([words.doc[hit].astype(np.uint64), words.hash[hit]]), axis=1) if len(hit) else (words.hash[:0],) * 2
+            several = in_bitmap(repeated.value, keys.view(np.uint64))[doc.astype(np.int64)]
+            term, times = np.unique(once[~several], return_counts=True)
+            n = np.concatenate([times, np.ones(several.sum(), np.int64)]).astype(np.int64)
+            of = pa.array([None] * len(term) + keys[doc[several].astype(np.int64)].tolist(), pa.int64())
+            terms = pa.array(np.concatenate([term, once[several]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([of, terms, pa.array(n)], names=["text_key", "term", "n"])
+
+    counted = rows.select("text", "text_key").mapInArrow(count, "text_key bigint, term bigint, n bigint")
+    counted = counted.groupBy("text_key", "term").agg(F.sum(F.when(F.col("text_key").isNull(), F.col("n"))).alias("n"))
+    in_texts = counted.groupBy("term").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_t"))
+    base = F.col("n_c") / total
+    told = (F.col("n_ct") + prior * base) / (F.col("n_t") + prior)
     return (
         together.join(alone, "entity")
-        .join(in_docs, "term")
-        .select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), shared / content)).alias("share"))
+        .join(in_texts, "term")
+        .select("entity", "term", F.when(base < 1, F.least(F.lit(1.0), F.log(told / base) / -F.log(base))).alias("share"))
         .where(F.col("share") >= threshold)
     )
 
@@ -273,7 +282,6 @@ _ARROW_MENTIONS = pa.list_(
     pa.struct(
         [
             ("entity", pa.int64()),
-            ("around", pa.int64()),
             ("words", _ARROW_WORDS),
         ]
     )

@@ -315,6 +315,21 @@ def test_disclosing_terms_go_from_whole_texts(spark):
     assert not any("zorblax" in (r.text or "").lower() for r in clean.values()) and clean[65].text is None
 
 
+def test_an_entity_seen_once_has_disclosing_terms(spark):
+    once = "alpha the quillon wrote from one@ex.org the day"
+    texts = [once, "quillon alone", *[f"filler{n} the common text{n} from day wrote alpha" for n in range(150)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    copies = docs.union(spark.createDataFrame([(1000 + n, once) for n in range(40)] + [(0, once)], docs.schema)).repartition(4)
+    terms = lambda df: {(once[t.start : t.end], round(t.share, 9)) for t in by_id(pii.find(df).collect())[0].terms}
+    # 152 texts, one with the entity, two with the word.
+    share = np.log((1 + 2 / 152) / (2 + 2) * 152) / np.log(152)
+    assert pii.find(docs, threshold=0.7).where("size(terms) > 0").count() == 1 and 0.7 < share < 0.75
+    assert {(once[t.start : t.end], round(t.share, 9)) for t in by_id(pii.find(copies, threshold=0.7).collect())[1000].terms} == {("quillon", round(share, 9))}
+    assert not terms(docs) and not terms(copies)
+    alone = docs.where("doc_id <> 1"), copies.where("doc_id <> 1")
+    assert [t for t, _ in terms(alone[0])] == ["quillon"] and terms(alone[0]) == terms(alone[1])
+
+
 def test_licenses(spark):
     texts = [*TEXTS, " ".join(["pad"] * 31) + " Released under the MIT License. tail", "under the Apache License only"]
     texts += [f"{'x ' * k}This work is licensed under the GNU General Public License, version 3." for k in range(12)]
