@@ -13,6 +13,7 @@ from pulsemill.llm import (
     quality_gam,
     secret_scan,
     simhash_dedup,
+    source_audit,
     token_counts,
 )
 from pulsemill.session import new_path
@@ -86,6 +87,10 @@ def op10_pii(spark, sf_dir):
     )
 
 
+def op11_source_audit(spark, sf_dir):
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -103,6 +108,7 @@ QUERIES = {
         op8_secret_scan,
         op9_simhash_dedup,
         op10_pii,
+        op11_source_audit,
         pipeline,
     )
 }
@@ -144,4 +150,46 @@ ORACLE = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op11_source_audit": r"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ),
+        word AS (SELECT d, lang, source, unnest(w) AS term FROM doc),
+        counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM word GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 10),
+        kinds AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM doc),
+        place AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+            FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+        ),
+        total AS (SELECT lang, source, sum(n) AS n FROM place GROUP BY ALL),
+        share AS (
+            SELECT lang, source, term, place.n,
+                1 + (1000000000::HUGEINT * (place.n + 2)) // (total.n + 2 * kinds.v) AS p,
+                1 + (1000000000::HUGEINT * (place.lang_n + 2)) // (kinds.n + 2 * kinds.v) AS q
+            FROM place JOIN total USING (lang, source) JOIN kinds USING (lang)
+        ),
+        summed AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ),
+        term AS (
+            SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM share WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+        )
+        WHERE part = 'pair' OR rank <= 10
+    """,
 }
