@@ -15,6 +15,8 @@ from pulsemill.llm import (
     simhash_dedup,
     source_audit,
     token_counts,
+    warc,
+    whitening,
 )
 from pulsemill.session import new_path
 
@@ -91,6 +93,16 @@ def op11_source_audit(spark, sf_dir):
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark, sf_dir):
+    root = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), root)
+    return warc.read_archives(spark, root, payloads=False).drop("url", "payload")
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -109,11 +121,13 @@ QUERIES = {
         op9_simhash_dedup,
         op10_pii,
         op11_source_audit,
+        op12_warc,
+        op13_whitening,
         pipeline,
     )
 }
 
-# op4 alone has a SQL form; the others are tested against brute force or held-out rows.
+# op4, op11 and op12 have a SQL form; the others are tested against brute force or held-out rows.
 ORACLE = {
     "op4_decontamination": r"""
         WITH item AS (
@@ -192,4 +206,17 @@ ORACLE = {
         )
         WHERE part = 'pair' OR rank <= 10
     """,
+    "op12_warc": """
+        WITH page AS (
+            SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+        ),
+        told AS (
+            SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS first
+            FROM page WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST)
+        )
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+            CASE WHEN size >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN size >= 100 AND k > 1 THEN first END AS refers_to
+        FROM told
+    """,
 }
