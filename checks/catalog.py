@@ -3,7 +3,7 @@
 Doubles are rounded to 6 places and lists joined to text, so that two engines can be compared by value.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulsemill import fixed_values as v
 from pulsemill import functions as fn
@@ -22,9 +22,11 @@ from pulsemill.sources.posts_csv import (
     write_posts_csv,
     write_signals_csv,
 )
+from pulsemill.sources.key_store import build_keys, unseen_by_keys
 from pulsemill.sources.posts_parquet import read_posts, upsert_by_date, write_by_date
 from pulsemill.streaming import hourly as stream_hourly
-from pulsemill.streaming import ingest
+from pulsemill.streaming import ingest, progress
+from pulsemill.streaming.upsert import start_upsert
 
 WEEK = 24 * 7
 MONTH = 24 * 30
@@ -297,6 +299,16 @@ def unseen_posts(spark, sf_dir):
     return dedup.unseen_posts(incoming, posts.where(F.col("ts") < early)).select("seq", "tweet_id")
 
 
+def unseen_by_stored_keys(spark, sf_dir):
+    """As `unseen_posts`, against the key table of the stored posts."""
+    posts = event_posts(spark, sf_dir)
+    root = new_path(spark, "posts-keys")
+    early = F.date_trunc("day", newest(spark, sf_dir)) - F.expr("INTERVAL 7 DAYS")
+    build_keys(posts.where(F.col("ts") < early), root)
+    incoming = posts.withColumn("tweet_id", F.col("url").substr(28, 20))
+    return unseen_by_keys(incoming, root).select("seq", "tweet_id")
+
+
 # --- counts -------------------------------------------------------------------------------------
 
 
@@ -472,16 +484,26 @@ def parquet_by_date(spark, sf_dir):
     return read_posts(spark, path).select("tweet_id", "content", "like_count", "query", "date")
 
 
-def upserted(spark, sf_dir):
-    """Two overlapping loads: all but the last day and a half, then the last two days."""
-    path = new_path(spark, "posts-upsert")
+def two_loads(spark, sf_dir):
+    """All posts but those of the last day and a half, then those of the last two days."""
     posts = shape_posts(raw_event_posts(spark, sf_dir), newest(spark, sf_dir), MONTH)
     now = newest(spark, sf_dir)
-    upsert_by_date(posts.where(F.col("ts") < now - F.expr("INTERVAL 36 HOURS")), path)
-    upsert_by_date(posts.where(F.col("ts") >= now - F.expr("INTERVAL 48 HOURS")), path)
+    return [posts.where(F.col("ts") < now - F.expr("INTERVAL 36 HOURS")), posts.where(F.col("ts") >= now - F.expr("INTERVAL 48 HOURS"))]
+
+
+def upserted(spark, sf_dir, **how):
+    """Two overlapping loads."""
+    path = new_path(spark, "posts-upsert")
+    for load in two_loads(spark, sf_dir):
+        upsert_by_date(load, path, **how)
     return read_posts(spark, path).select("tweet_id", "url", "content", "query", "date")
 
 
+def upserted_by_keys(spark, sf_dir):
+    """The same loads; the dates that they touch come from the table of stored keys."""
+    return upserted(spark, sf_dir, keys=True)
+
+
 def signals_csv(spark, sf_dir):
     path = new_path(spark, "signals-csv")
     write_signals_csv(signal_table(event_posts(spark, sf_dir)), path)
@@ -536,6 +558,40 @@ def stream_new_posts(spark, sf_dir):
     return spark.read.parquet(out).select("tweet_id")
 
 
+def stream_upsert(spark, sf_dir):
+    """The loads of `upsert_by_date` as they land, by a stream that is started anew for each."""
+    landed, root, checkpoint = (new_path(spark, n) for n in ("landed", "posts-stream", "checkpoint"))
+    for load in two_loads(spark, sf_dir):
+        load.write.mode("append").parquet(landed)
+        run(start_upsert(ingest.stream_posts(spark, landed, schema=load.schema), root, checkpoint))
+    return read_posts(spark, root).select("tweet_id", "url", "content", "query", "date")
+
+
+LOADS = 4
+
+
+def stream_post_counts(spark, sf_dir):
+    """Old, late and accepted posts of each of four loads by arrival, over as many starts of the stream."""
+    landed, out, checkpoint, kept = (new_path(spark, n) for n in ("landed", "accepted", "checkpoint", "counts"))
+    events = table(spark, sf_dir, "events").count()
+    # A multiple of 20, so that two posts of one id land together.
+    size = -(-events // (LOADS * 20)) * 20
+    posts = event_posts(spark, sf_dir).drop("content")
+    now = newest_value(spark, sf_dir)
+    for n in range(LOADS):
+        posts.where((F.col("seq") >= n * size) & (F.col("seq") < (n + 1) * size)).write.mode("append").parquet(landed)
+        stream = ingest.with_event_time(ingest.stream_posts(spark, landed, schema=posts.schema))
+        accepted = progress.count_accepted(ingest.new_posts(ingest.count_old(stream, now, WEEK * 3)))
+        counts = progress.BatchCounts()
+        spark.streams.addListener(counts)
+        query = stream_hourly.start_table(accepted, out, checkpoint)
+        run(query)
+        spark.streams.removeListener(counts)
+        counts.finish(query).store(spark, query, kept)
+    load = F.row_number().over(Window.orderBy("batch_id"))  # LOADS rows
+    return progress.read_counts(spark, kept).select(load.alias("load"), "posts", "old_posts", "late_posts", "accepted_posts")
+
+
 def newest_value(spark, sf_dir):
     now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now")).collect()[0].now
     return F.lit(now).cast("timestamp")
@@ -567,6 +623,7 @@ QUERIES = {
     "dedup_coalesced_key": dedup_identity,
     "first_query_wins": first_query_wins,
     "unseen_posts": unseen_posts,
+    "unseen_by_keys": unseen_by_stored_keys,
     "posts_per_date": posts_per_date,
     "tag_coverage": tag_coverage,
     "top_hashtags": top_hashtags,
@@ -593,8 +650,11 @@ QUERIES = {
     "csv_by_query": csv_by_query,
     "parquet_by_date": parquet_by_date,
     "upsert_by_date": upserted,
+    "upsert_by_keys": upserted_by_keys,
     "signals_csv": signals_csv,
     "stream_hourly": stream_hourly_means,
     "stream_signals": stream_signals,
     "stream_new_posts": stream_new_posts,
+    "stream_upsert": stream_upsert,
+    "stream_post_counts": stream_post_counts,
 }

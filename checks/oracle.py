@@ -674,3 +674,23 @@ ORACLE["stream_signals"] = select(*FLAGSHIP, body=f"SELECT hourly.* FROM hourly,
 ORACLE["stream_new_posts"] = select(
     POSTS, body="SELECT DISTINCT tweet_id FROM posts, clock WHERE ts >= now - INTERVAL 7 DAYS"
 )
+
+# Other ways to the same rows.
+ORACLE["unseen_by_keys"] = ORACLE["unseen_posts"]
+ORACLE["upsert_by_keys"] = ORACLE["stream_upsert"] = ORACLE["upsert_by_date"]
+
+# The watermark that a load meets is a day behind the newest post of the loads before it, to the millisecond.
+ORACLE["stream_post_counts"] = select(
+    POSTS,
+    """landed AS (
+  SELECT tweet_id, ts, seq // (((SELECT count(*) FROM events) + 79) // 80 * 20) + 1 AS load,
+         coalesce(ts >= now - INTERVAL 21 DAYS, false) AS recent
+  FROM posts, clock
+)""",
+    """newest AS (SELECT load, date_trunc('milliseconds', max(ts)) AS t FROM landed GROUP BY load)""",
+    """mark AS (SELECT load, max(t) OVER (ORDER BY load ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 24 HOURS AS mark FROM newest)""",
+    """told AS (SELECT landed.*, coalesce(ts <= mark, false) AS late FROM landed JOIN mark USING (load))""",
+    body="""SELECT CAST(load AS INTEGER) AS load, count(*) AS posts, count(*) FILTER (NOT recent) AS old_posts,
+       count(*) FILTER (recent AND late) AS late_posts, count(DISTINCT tweet_id) FILTER (recent AND NOT late) AS accepted_posts
+FROM told GROUP BY load""",
+)

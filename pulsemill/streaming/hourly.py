@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import fixed_values as v
 from ..functions import combined_signal
 from ..operators import bootstrap, tfidf
-from ..operators.hourly import with_keyword_signal
+from ..operators.hourly import draw_key, with_keyword_signal
 
 
 def _start(window_column: str):
@@ -32,9 +32,10 @@ def stream_hourly_means(posts: DataFrame) -> DataFrame:
 
 def stream_block_sums(posts: DataFrame, model: tfidf.TermModel, replicates=v.BOOTSTRAP_REPLICATES) -> DataFrame:
     """Bootstrap block sums of each closed hour (append mode), scored with a stored model."""
-    scored = tfidf.score(with_keyword_signal(posts), model).select(
+    scored = tfidf.score(with_keyword_signal(posts), model)
+    scored = scored.select(
         "ts",
-        "tweet_id",
+        draw_key(scored).alias("tweet_id"),
         "keyword_signal",
         "tfidf_signal",
         combined_signal(F.col("keyword_signal"), F.col("tfidf_signal"), F.col("weight")).alias(
