@@ -11,6 +11,7 @@ from ..functions import (
     lexicon_polarity,
 )
 from ..schema import METRICS
+from ..session import cut_lineage
 from . import bootstrap, tfidf
 
 def with_keyword_signal(posts: DataFrame) -> DataFrame:
@@ -62,12 +63,16 @@ def hourly_signals(scored: DataFrame, replicates=v.BOOTSTRAP_REPLICATES, **optio
 
 
 def dense_hours(hourly: DataFrame, count="tweet_count") -> DataFrame:
-    """Every hour from the first to the last; one without posts has count 0 and NULL signals."""
-    span = hourly.agg(F.min("time").alias("first"), F.max("time").alias("last"))
-    hours = span.where(F.col("first").isNotNull()).select(
-        F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 HOUR"))).alias("time")
-    )
-    filled = hours.join(hourly, "time", "left")
+    """Every hour from the first to the last; one without posts has count 0 and NULL signals.
+
+    The series is worked out once and stored; hours are a range that Spark splits, however far apart the ends are.
+    """
+    spark = hourly.sparkSession
+    stored = cut_lineage(hourly, "hourly")
+    first, n = stored.agg(F.min("time").cast("string"), F.timestamp_diff("HOUR", F.min("time"), F.max("time")) + 1).first()
+    start = F.lit(first).cast("timestamp_ntz")
+    hours = spark.range(n or 0).select(F.timestamp_add("HOUR", F.col("id").cast("int"), start).alias("time"))
+    filled = hours.join(stored, "time", "left")
     return filled.withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("bigint")))
 
 

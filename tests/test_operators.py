@@ -126,3 +126,15 @@ def test_stats(spark):
     same, seen = stats.counted(df, "three")
     same.write.format("noop").mode("overwrite").save()
     assert seen.get["rows"] == 3
+
+
+def test_dense_hours_across_a_stray_timestamp(spark):
+    from pulsemill.operators.hourly import dense_hours
+
+    hours = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'1900-01-01 05:00:00', 1.5D, 2L), (TIMESTAMP_NTZ'2024-01-01 00:00:00', NULL, 1L) AS t(time, s, tweet_count)")
+    dense = dense_hours(hours)
+    hours_apart = int((datetime(2024, 1, 1) - datetime(1900, 1, 1, 5)).total_seconds()) // 3600
+    assert dense.count() == hours_apart + 1 and dense.where("tweet_count > 0").count() == 2
+    assert dense_hours(hours.limit(0)).count() == 0
+    two = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 22:00:00', 1L), (TIMESTAMP_NTZ'2024-01-02 01:00:00', 4L) AS t(time, n)")
+    assert [(str(r.time)[11:13], r.n) for r in dense_hours(two, "n").orderBy("time").collect()] == [("22", 1), ("23", 0), ("00", 0), ("01", 4)]
