@@ -10,9 +10,12 @@ each pair meets in the range of the member with the greater rank.
 A range returns a spanning forest of its links, not all pairs; `components.smallest_reachable` joins them.
 
 `keep_dissimilar` is for a pipeline: texts of a Jaccard similarity of 0.8 and more. At 0.8, SimHashes differ in about 10 of 64
-bits, a radius at which no order of fingerprints prunes anything. It takes a wide fingerprint instead (thousands of
-independent bits), whose bits are cut into bands: texts that agree in one whole band are candidates, and the exact
-similarity decides.
+bits, a radius at which the index prunes nothing. It takes a wide fingerprint instead (thousands of
+independent bits), whose bits are cut into bands: texts that agree in one whole band meet, and the exact
+similarity decides. Where few texts meet in a band, all of them are compared. Where many do, each is compared with the
+most popular one (the text that meets most others, hence the least altered of a group of copies); then, in rounds,
+the texts of a band are put in Gray order of another 64 bits each time, and neighbours of different components are
+compared, until no order finds a link. A round costs a comparison a text at most, however large a group of copies is.
 """
 
 import math
@@ -23,7 +26,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from pulsemill.llm.arrow_text import _mixed, pieces
 from pulsemill.llm.bitmap import bitmap, in_bitmap
@@ -52,6 +56,8 @@ SPARE_BITS = 3
 # with a deviation of 5.7 (48 and 6.2 for texts of five shingles); 128 of unrelated texts.
 CHECK_WORDS = 4
 CHECK_RADIUS = 80
+# Texts of a band that are all compared with each other.
+FEW = 8
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
@@ -242,8 +248,9 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     """One document of each group that pairs of at least `similarity` connect: that of the smallest doc_id (then text hash).
 
     Similarity is the Jaccard index of the sets of word shingles. Every pair that is linked was compared exactly; of the
-    pairs at just `similarity`, RECALL are compared, of more similar ones more. Texts without words are
-    alike. All columns as they are; of rows that agree in doc_id and text one stays.
+    pairs at just `similarity`, RECALL meet in a band, of more similar ones more. NULL, empty and blank texts are alike. Texts of
+    any length are compared whole. All columns as they are, whatever their names; of rows that agree in doc_id and text
+    one stays. An empty table stays empty.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     bits, bands = band_settings(docs.count(), similarity)
@@ -267,28 +274,102 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     sketches = cut_lineage(rows.mapInArrow(scan, kind), "sketches")
     once = lambda *names: sketches.groupBy("text_key").agg(*[F.first(c).alias(c) for c in names])
     info = cut_lineage(once("size", "wide"), "sizes")
-    members = once("bands").select(F.explode("bands").alias("band"), "text_key")
-    whole = Window.partitionBy("band")
-    members = members.withColumns({"first": F.min("text_key").over(whole), "last": F.max("text_key").over(whole)})
-    members = cut_lineage(members.where("first <> last").drop("last"), "members")
-    # First everything with the first of its band. Most of a large group of copies is one component then, and only texts
-    # of different components need to meet.
-    stars = members.where("text_key <> first").select(F.col("first").alias("a"), F.col("text_key").alias("b")).distinct()
-    links = _similar(rows, info, stars, similarity, shingle, seed)
-    met = _rooted(members.select("band", "text_key"), smallest_reachable(links))
-    kinds = met.select("band", "root").distinct()
-    mixed = kinds.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    met = cut_lineage(met.join(mixed, "band", "left_semi"), "met")
-    others = met.select("band", F.col("root").alias("other")).distinct()
-    ways = met.join(others, "band").where("other < root").select("band", "other", F.col("text_key").alias("b"))
-    ends = met.select("band", F.col("root").alias("other"), F.col("text_key").alias("a"))
-    pairs = ways.join(ends, ["band", "other"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.union(_similar(rows, info, pairs, similarity, shingle, seed))
-    found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), smallest_reachable(links)), "found")
+    members = cut_lineage(_shared(once("bands").select(F.explode("bands").alias("band"), "text_key")), "members")
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    few = members.join(counts.where(F.col("n").between(2, FEW)), "band").select("band", "text_key")
+    pairs = few.withColumnRenamed("text_key", "a").join(few.withColumnRenamed("text_key", "b"), "band").where("a < b").select("a", "b")
+    big = cut_lineage(members.join(counts.where(F.col("n") > FEW), "band"), "large-bands")
+    tested = cut_lineage(pairs.union(_stars(big)).distinct(), "tested")
+    close = _close(info, tested, similarity)
+    sets = _sets(rows, big.select("text_key").union(close.select(F.explode(F.array("a", "b")))).distinct(), shingle, seed)
+    links = _similar(close, sets, similarity)
+    roots = cut_lineage(smallest_reachable(links), "roots")
+    order, quiet = 0, 0
+    while quiet < CHECK_WORDS and not big.isEmpty():
+        near = _neighbours(big, roots, info, order % CHECK_WORDS).join(tested, ["a", "b"], "left_anti")
+        near = cut_lineage(near, "neighbours")
+        found = _similar(_close(info, near, similarity), sets, similarity)
+        order, quiet = order + 1, quiet + 1
+        if not found.isEmpty():
+            # Components only grow: the old ones are links to their roots.
+            roots = cut_lineage(smallest_reachable(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
+            quiet = 0
+        tested = tested.union(near)
+    found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), roots), "found")
     return _first_of(docs, found, "root")
 
 
+def _shared(spread: DataFrame) -> DataFrame:
+    """Rows (band, text_key) whose band others have too; and the first and last row of each sorted partition.
+
+    A band with very many texts is split over partitions, for rows are dealt by band and text.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, True
+        for batch in batches:
+            rows = pa.concat_batches([held, batch]) if held else batch
+            if not rows.num_rows:
+                continue
+            band = rows.column("band").to_numpy()
+            same = band[1:] == band[:-1]
+            keep = np.append(before, same) | np.append(same, True)
+            yield rows.slice(0, len(band) - 1).filter(pa.array(keep[:-1]))
+            held, before = rows.slice(len(band) - 1), bool(same[-1]) if len(same) else before
+        if held:
+            yield held
+
+    ordered = spread.repartitionByRange("band", "text_key").sortWithinPartitions("band", "text_key")
+    return ordered.mapInArrow(scan, "band bigint, text_key bigint")
+
+
+def _stars(big: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every text and the most popular one of each of its large bands."""
+    popular = big.groupBy("text_key").agg(F.sum("n").alias("met"))
+    centres = big.select("band", "text_key").join(popular, "text_key")
+    centres = centres.groupBy("band").agg(F.max(F.struct("met", "text_key"))["text_key"].alias("centre"))
+    ends = F.least("text_key", "centre").alias("a"), F.greatest("text_key", "centre").alias("b")
+    return big.select("band", "text_key").join(centres, "band").where("text_key <> centre").select(*ends).distinct()
+
+
+def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, word: int) -> DataFrame:
+    """Pairs (a, b) of texts of different components that stand side by side in a band, in Gray order of one word of fingerprints."""
+    placed = _rooted(big.select("band", "text_key"), roots).join(info.select("text_key", gray_rank(F.col("wide")[word]).alias("rank")), "text_key")
+    placed = cut_lineage(placed.select("band", "rank", "text_key", "root"), "placed")
+    ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    ordered = placed.join(ends.select("band"), "band", "left_semi").repartitionByRange("band", "rank", "text_key")
+    ordered = ordered.sortWithinPartitions("band", "rank", "text_key").select("band", "text_key", "root")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_batches([held, batch]) if held else batch
+            if not held:
+                yield _edge(batch.slice(0, 1), 2 * part)
+            band, key, root = (rows.column(c).to_numpy() for c in ("band", "text_key", "root"))
+            at = np.flatnonzero((band[1:] == band[:-1]) & (root[1:] != root[:-1]))
+            low, high = np.minimum(key[at], key[at + 1]), np.maximum(key[at], key[at + 1])
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, none, none], names=["a", "b", "edge", "band", "root"])
+            held = rows.slice(rows.num_rows - 1)
+        if held:
+            yield _edge(held, 2 * part + 1)
+
+    found = cut_lineage(ordered.mapInArrow(scan, "a bigint, b bigint, edge bigint, band bigint, root bigint"), "side-by-side")
+    # The rows at the borders of partitions, two for each: neighbours that a border parts.
+    edges = found.where(F.col("edge").isNotNull()).orderBy("edge").collect()
+    parted = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges[1::2], edges[2::2]) if x.band == y.band and x.root != y.root]
+    pairs = found.where(F.col("edge").isNull()).select("a", "b")
+    return pairs.union(big.sparkSession.createDataFrame(parted, "a bigint, b bigint")).distinct()
+
+
+def _edge(row: pa.RecordBatch, edge: int) -> pa.RecordBatch:
+    columns = [row.column("text_key"), row.column("text_key"), pa.array([edge]), row.column("band"), row.column("root")]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "edge", "band", "root"])
+
+
 def band_settings(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
     """Bits of a band for `n` texts, and how many bands bring `recall` of the pairs of this similarity together."""
     bits = min(60, max(16, n.bit_length() + SPARE_BITS))
@@ -326,14 +407,18 @@ def _tally(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _similar(rows: DataFrame, info: DataFrame, pairs: DataFrame, similarity: float, shingle: int, seed: int) -> DataFrame:
-    """Those of the pairs (a, b) of text keys whose texts are similar enough; sizes and wide fingerprints are compared first."""
+def _close(info: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text keys whose sizes and wide fingerprints allow the similarity, with both sizes."""
     for side in ("a", "b"):
         pairs = pairs.join(info.select(*[F.col(c).alias(f"{c}_{side}") for c in ("text_key", "size", "wide")]), F.col(side) == F.col(f"text_key_{side}"))
     apart = sum((F.bit_count(F.col("wide_a")[k].bitwiseXOR(F.col("wide_b")[k])) for k in range(CHECK_WORDS)), F.lit(0))
     sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
-    pairs = cut_lineage(pairs.where(sized & (apart <= CHECK_RADIUS)).select("a", "b", "size_a", "size_b"), "candidates")
-    bits = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), "text_key")
+    return cut_lineage(pairs.where(sized & (apart <= CHECK_RADIUS)).select("a", "b", "size_a", "size_b"), "candidates")
+
+
+def _sets(rows: DataFrame, keys: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Shingle sets (text_key, shingles) of these texts, and of a few others."""
+    bits = bitmap(keys, "text_key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -342,7 +427,11 @@ def _similar(rows: DataFrame, info: DataFrame, pairs: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
 
     sets = rows.select("text", "text_key").mapInArrow(scan, "text_key bigint, shingles array<bigint>")
-    sets = cut_lineage(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+    return cut_lineage(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, size_a, size_b) whose texts are similar enough."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("text_key").alias(f"key_{side}"), F.col("shingles").alias(f"set_{side}")), F.col(side) == F.col(f"key_{side}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
