@@ -12,10 +12,11 @@ A range returns a spanning forest of its links, not all pairs; `components.small
 `keep_dissimilar` is for a pipeline: texts of a Jaccard similarity of 0.8 and more. At 0.8, SimHashes differ in about 10 of 64
 bits, a radius at which the index prunes nothing. It takes a wide fingerprint instead (thousands of
 independent bits), whose bits are cut into bands: texts that agree in one whole band meet, and the exact
-similarity decides. Where few texts meet in a band, all of them are compared. Where many do, each is compared with the
-most popular one (the text that meets most others, hence the least altered of a group of copies); then, in rounds,
-the texts of a band are put in Gray order of another 64 bits each time, and neighbours of different components are
-compared, until no order finds a link. A round costs a comparison a text at most, however large a group of copies is.
+similarity decides. Where many texts meet in a band, each is first compared with the most popular one it meets (the
+text that meets most others, hence the least altered of a group of copies), once. Then texts of different components are
+compared: all that meet in a band of few texts, and in rounds those of larger bands, which are put in Gray order of
+another 64 bits each time and compared with their neighbours, until no order finds a link. So the number of comparisons
+follows the number of bands a text has, not the size of its group.
 """
 
 import math
@@ -276,24 +277,25 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     info = cut_lineage(once("size", "wide"), "sizes")
     members = cut_lineage(_shared(once("bands").select(F.explode("bands").alias("band"), "text_key")), "members")
     counts = members.groupBy("band").agg(F.count("*").alias("n"))
-    few = members.join(counts.where(F.col("n").between(2, FEW)), "band").select("band", "text_key")
-    pairs = few.withColumnRenamed("text_key", "a").join(few.withColumnRenamed("text_key", "b"), "band").where("a < b").select("a", "b")
     big = cut_lineage(members.join(counts.where(F.col("n") > FEW), "band"), "large-bands")
-    tested = cut_lineage(pairs.union(_stars(big)).distinct(), "tested")
-    close = _close(info, tested, similarity)
-    sets = _sets(rows, big.select("text_key").union(close.select(F.explode(F.array("a", "b")))).distinct(), shingle, seed)
-    links = _similar(close, sets, similarity)
-    roots = cut_lineage(smallest_reachable(links), "roots")
+    many = _sets(rows, big.select("text_key").distinct(), shingle, seed)
+    # Most texts of a large group of copies are one component after this, and need not meet each other.
+    tested = cut_lineage(_stars(big), "stars")
+    roots = _joined(None, _similar(_close(info, tested, similarity), many, similarity))
+    few = _rooted(members.join(counts.where(F.col("n").between(2, FEW)), "band").select("band", "text_key"), roots)
+    one, two = (few.select("band", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    close = _close(info, cut_lineage(pairs, "pairs"), similarity)
+    some = _sets(rows, close.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), shingle, seed)
+    roots = _joined(roots, _similar(close, some, similarity))
     order, quiet = 0, 0
     while quiet < CHECK_WORDS and not big.isEmpty():
         near = _neighbours(big, roots, info, order % CHECK_WORDS).join(tested, ["a", "b"], "left_anti")
         near = cut_lineage(near, "neighbours")
-        found = _similar(_close(info, near, similarity), sets, similarity)
+        found = _similar(_close(info, near, similarity), many, similarity)
         order, quiet = order + 1, quiet + 1
         if not found.isEmpty():
-            # Components only grow: the old ones are links to their roots.
-            roots = cut_lineage(smallest_reachable(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
-            quiet = 0
+            roots, quiet = _joined(roots, found), 0
         tested = tested.union(near)
     found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), roots), "found")
     return _first_of(docs, found, "root")
@@ -323,13 +325,21 @@ def _shared(spread: DataFrame) -> DataFrame:
     return ordered.mapInArrow(scan, "band bigint, text_key bigint")
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots with more links; earlier components are given by the links to their roots."""
+    if roots is not None:
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+    return cut_lineage(smallest_reachable(links), "roots")
+
+
 def _stars(big: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every text and the most popular one of each of its large bands."""
+    """Pairs (a, b) of every text and the most popular text it meets in a large band."""
     popular = big.groupBy("text_key").agg(F.sum("n").alias("met"))
     centres = big.select("band", "text_key").join(popular, "text_key")
-    centres = centres.groupBy("band").agg(F.max(F.struct("met", "text_key"))["text_key"].alias("centre"))
+    centres = centres.groupBy("band").agg(F.max(F.struct("met", "text_key")).alias("centre"))
+    nearest = big.select("band", "text_key").join(centres, "band").groupBy("text_key").agg(F.max("centre")["text_key"].alias("centre"))
     ends = F.least("text_key", "centre").alias("a"), F.greatest("text_key", "centre").alias("b")
-    return big.select("band", "text_key").join(centres, "band").where("text_key <> centre").select(*ends).distinct()
+    return nearest.where("text_key <> centre").select(*ends).distinct()
 
 
 def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, word: int) -> DataFrame:
