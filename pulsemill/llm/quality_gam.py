@@ -199,7 +199,9 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Model:
     """Fit on at most `max_rows` labelled documents outside the held-out part.
 
-    labels: doc_id, quality (0/1; NULL is no label; of repeated labels the greater counts).
+    labels: doc_id, quality (0/1; NULL is no label; of repeated labels the greater counts). Of several rows of one doc_id
+    the text of the least hash counts, so that the driver gets `max_rows` rows of features at most, whatever is repeated.
+    Without a labelled document, empty tables too, the model scores 0.5 throughout.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -210,19 +212,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) -> Model
         .limit(max_rows)
     )
     # The broadcast holds `max_rows` narrow rows at most.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "text", F.xxhash64("text").alias("text_key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             values = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(values, pa.list_(pa.float64()))],
-                names=["doc_id", "label", "x"],
-            )
+            columns = [batch.column("doc_id"), batch.column("label").cast(pa.int32()), batch.column("text_key"), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "text_key", "x"])
 
-    got = rows.mapInArrow(scan, "doc_id bigint, label int, x array<double>").toArrow().combine_chunks()
+    found = rows.mapInArrow(scan, "doc_id bigint, label int, text_key bigint, x array<double>")
+    once = found.groupBy("doc_id").agg(F.min(F.struct("text_key", "x", "label")).alias("of"))
+    got = once.select("doc_id", "of.label", "of.x").toArrow().combine_chunks()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    order = np.lexsort([*x.T, got.column("doc_id").to_numpy()])[:max_rows]
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     return fit(x[order], got.column("label").to_numpy()[order].astype(np.float64))
 
 
@@ -245,7 +248,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score `threshold` or more, all columns as they are, without a shuffle."""
+    """The documents that score `threshold` or more, all columns as they are, without a shuffle.
+
+    NULL and empty texts are scored with features of zero, very long ones whole; repeated rows go or stay together, and an
+    empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
