@@ -5,8 +5,8 @@ character n-grams (with marks at its ends), the longest first; where none of a l
 shorter length votes. The language with the greatest sum wins.
 
 Frequencies come from a bounded sample of labelled documents (`FIT_DOCS` of each language, those with the smallest
-hashes of their ids) and are counted by Spark; the model keeps the `WORDS` most frequent words and `GRAMS` n-grams of each
-length of a language, which bounds what is broadcast.
+hashes of their ids) and are counted by Spark. The model keeps every word and n-gram of the sample, each with the
+languages that know it only; the sample bounds what is broadcast.
 """
 
 import re
@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsemill.llm.arrow_text import pieces
 
 FIT_DOCS = 3_000
-WORDS = 20_000
-GRAMS = 5_000
 LENGTHS = (4, 3, 2, 1)
 # Weight of an n-gram vote for each step down from a word.
 BACKOFF = 0.4
@@ -42,18 +40,33 @@ def grams_of(word: str, length: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Row numbers of words and n-grams in a table of log frequencies, a column by language."""
+    """Log frequencies of words and n-grams: of term k, entries first[k] to first[k + 1] of `lang` and `more`.
+
+    `floors` holds, for words and each length, the log frequency of a term that a language does not know; `more` is how
+    far a language that knows the term is above it.
+    """
 
     languages: list[str]
     rows: list[dict[str, int]]  # words, then n-grams by LENGTHS
-    votes: np.ndarray
+    floors: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    more: np.ndarray
+
+    def total(self, kind: int, terms: list[int]) -> np.ndarray:
+        """Sum of the log frequencies of some terms, by language."""
+        at = np.array(terms, np.int64)
+        sizes = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(sizes)
+        entries = np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.floors[kind] * len(terms) + np.bincount(self.lang[entries], self.more[entries], len(self.languages))
 
     def vote(self, word: str) -> np.ndarray:
         """Votes of an unknown word; the shortest n-grams may be unknown too, then it has none."""
-        for step, (length, known) in enumerate(zip(LENGTHS, self.rows[1:]), 1):
+        for kind, (length, known) in enumerate(zip(LENGTHS, self.rows[1:]), 1):
             found = [known[g] for g in grams_of(word, length) if g in known]
             if found:
-                return self.votes[found].mean(axis=0) * BACKOFF**step
+                return self.total(kind, found) / len(found) * BACKOFF**kind
         return np.zeros(len(self.languages))
 
     def predict(self, text: str | None, memo: dict[str, np.ndarray]) -> tuple[str, float]:
@@ -63,7 +76,7 @@ class Model:
             return UNKNOWN, 0.0
         known = self.rows[0]
         at = [known.get(w, -1) for w in words]
-        total = self.votes[[k for k in at if k >= 0]].sum(axis=0)
+        total = self.total(0, [k for k in at if k >= 0])
         for k, word in zip(at, words):
             if k < 0:
                 vote = memo.get(word)
@@ -82,8 +95,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """Count words and n-grams of documents outside the held-out part that have a `lang`."""
+def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
+    """Count words and n-grams of documents outside the held-out part that have a `lang`.
+
+    Rows without a lang or a doc_id teach nothing, texts without a letter nothing either; very long texts count whole.
+    An empty table gives a model without languages.
+    """
     chosen = _chosen(docs, fit_docs)
     # `fit_docs` narrow rows of each language.
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
@@ -110,16 +127,7 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, words: int = WORDS, grams:
 
     counted = rows.mapInArrow(scan, "lang string, kind int, term string, n bigint")
     counted = counted.groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term")
-    totals = Window.partitionBy("lang", "kind")
-    kept = (
-        counted.withColumn("all", F.sum("n").over(totals))
-        .withColumn("at", F.row_number().over(best))
-        .where(F.col("at") <= F.when(F.col("kind") == 0, words).otherwise(grams))
-        .select("lang", "kind", "term", "n", "all")
-        .toArrow()
-    )
-    return _model(kept)
+    return _model(counted.toArrow())  # terms of the sample
 
 
 def _chosen(docs: DataFrame, fit_docs: int) -> DataFrame:
@@ -153,27 +161,26 @@ def _chosen(docs: DataFrame, fit_docs: int) -> DataFrame:
     )
 
 
-def _model(kept: pa.Table) -> Model:
-    languages = sorted(set(kept.column("lang").to_pylist()))
+def _model(counted: pa.Table) -> Model:
+    languages = sorted(set(counted.column("lang").to_pylist()))
     number = {lang: k for k, lang in enumerate(languages)}
+    listed = sorted(zip(*[counted.column(c).to_pylist() for c in ("kind", "term", "lang", "n")]))
+    sizes = np.zeros((len(LENGTHS) + 1, len(languages)))
+    for kind, _, lang, n in listed:
+        sizes[kind, number[lang]] += n
+    # Half an occurrence for languages that do not know the term.
+    floors = np.log(0.5 / (sizes + 1))
     rows: list[dict[str, int]] = [{} for _ in range(len(LENGTHS) + 1)]
-    listed = list(zip(*[kept.column(c).to_pylist() for c in ("kind", "term", "lang", "n", "all")]))
-    sizes = {(kind, lang): total for kind, _, lang, _, total in listed}
-    listed.sort()
-    at = 0
-    for kind, term, *_ in listed:
+    first = []
+    for k, (kind, term, *_) in enumerate(listed):
         if term not in rows[kind]:
-            rows[kind][term] = at
-            at += 1
-    votes = np.empty((at, len(languages)))
-    for kind, known in enumerate(rows):
-        # Half an occurrence for languages that do not know the term.
-        floor = np.array([np.log(0.5 / (sizes.get((kind, lang), 0) + 1)) for lang in languages])
-        for k in known.values():
-            votes[k] = floor
-    for kind, term, lang, n, total in listed:
-        votes[rows[kind][term], number[lang]] = np.log(n / (total + 1))
-    return Model(languages, rows, votes)
+            rows[kind][term] = len(first)
+            first.append(k)
+    kinds = np.array([x[0] for x in listed], np.int64)
+    lang = np.array([number[x[2]] for x in listed], np.int64)
+    times = np.array([x[3] for x in listed], np.float64)
+    more = np.log(times / (sizes[kinds, lang] + 1)) - floors[kinds, lang]
+    return Model(languages, rows, floors, np.array([*first, len(listed)], np.int64), lang, more)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
