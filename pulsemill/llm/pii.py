@@ -10,7 +10,9 @@ or, with `everywhere`, in every document.
 All counts are of different texts, so that copies are one witness: N texts, n_c with the entity, n_t with the word, n_ct
 with the word near the entity. P(c) is n_c / N, and P(c|t) is (n_ct + PRIOR P(c)) / (n_t + PRIOR), as if PRIOR more texts
 named the word and held the entity as often as any. That decides for entities seen once too, with more caution the fewer
-witnesses there are. Only words near an entity are counted, through a bitmap of fixed size.
+witnesses there are. Information grows with the number of texts, however common a word is beside its entity; so the word's own
+texts must also hold the entity at a share that is certain enough (`CERTAIN`). Only words near an entity are counted,
+through a bitmap of fixed size.
 """
 
 import re
@@ -31,6 +33,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 8
 PRIOR = 2
 GENERALISE = 0.75
+# A word discloses an entity only if the share of its texts that hold the entity is this much at least, by the lower end of
+# Wilson's interval at DEVIATIONS: 1 of 1, 2 of 2 or 3, not 1 of 2. Other than the information, it does not grow with the corpus.
+CERTAIN = 0.25
+DEVIATIONS = 1.645
 REMOVE = 0.9
 
 # The patterns, and how long their matches may be.
@@ -122,7 +128,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def find(docs: DataFrame, reach: int = REACH, prior: float = PRIOR, threshold: float = GENERALISE, everywhere: bool = False) -> DataFrame:
+def find(
+    docs: DataFrame, reach: int = REACH, prior: float = PRIOR, threshold: float = GENERALISE, everywhere: bool = False, certain: float = CERTAIN
+) -> DataFrame:
     """Entities and disclosing terms of every document row; terms `everywhere`, or where the document holds their entity.
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, text_key (xxhash64 of the text), base and terms: arrays
@@ -146,7 +154,7 @@ def find(docs: DataFrame, reach: int = REACH, prior: float = PRIOR, threshold: f
     scanned = cut_lineage(rows.mapInArrow(scan, _SCANNED), "entities")
     mentions = scanned.where(F.size("mentions") > 0).select("doc_id", "text_key", F.inline("mentions"))
     near = mentions.select("doc_id", "text_key", "entity", F.inline("words"))
-    flagged = cut_lineage(_disclosing(rows, scanned.select("text_key"), mentions, near, prior, threshold), "flagged")
+    flagged = cut_lineage(_disclosing(rows, scanned.select("text_key"), mentions, near, prior, threshold, certain), "flagged")
     if everywhere:
         named = _occurrences(rows, flagged).join(flagged.groupBy("term").agg(F.max("share").alias("share")), "term")
     else:
@@ -185,7 +193,7 @@ def _occurrences(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_key", F.inline("words"))
 
 
-def _disclosing(rows: DataFrame, keys: DataFrame, mentions: DataFrame, near: DataFrame, prior: float, threshold: float) -> DataFrame:
+def _disclosing(rows: DataFrame, keys: DataFrame, mentions: DataFrame, near: DataFrame, prior: float, threshold: float, certain: float) -> DataFrame:
     """(entity, term, share) of the pairs above the threshold; `keys` are the text_key of all rows."""
     together = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     together = cut_lineage(together, "pairs")
@@ -213,9 +221,12 @@ def _disclosing(rows: DataFrame, keys: DataFrame, mentions: DataFrame, near: Dat
     in_texts = counted.groupBy("term").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_t"))
     base = F.col("n_c") / total
     told = (F.col("n_ct") + prior * base) / (F.col("n_t") + prior)
+    p, n, z = F.col("n_ct") / F.col("n_t"), F.col("n_t"), F.lit(DEVIATIONS)
+    least = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     return (
         together.join(alone, "entity")
         .join(in_texts, "term")
+        .where(least >= certain)
         .select("entity", "term", F.when(base < 1, F.least(F.lit(1.0), F.log(told / base) / -F.log(base))).alias("share"))
         .where(F.col("share") >= threshold)
     )
@@ -232,7 +243,8 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, **how) -> DataFrame:
     """The documents with entities generalised to their kinds and disclosing terms generalised or removed.
 
     All columns as they are but text and, where there is one, n_chars (length of the new text). Where spans
-    overlap, their union is replaced by the kind of the first.
+    overlap, their union is replaced by the kind of the first. NULL and empty texts stay, very long ones are worked on
+    whole, repeated rows stay and change alike, an empty table stays empty.
     """
     key, spans_name = free_name(docs, "text_key"), free_name(docs, "pii_spans")
     keyed = docs.withColumn(key, F.xxhash64("text"))
