@@ -14,8 +14,8 @@ bits, a radius at which the index prunes nothing. It takes a wide fingerprint in
 independent bits), whose bits are cut into bands: texts that agree in one whole band meet, and the exact
 similarity decides. Where many texts meet in a band, each is first compared with the most popular one it meets (the
 text that meets most others, hence the least altered of a group of copies), once. Then texts of different components are
-compared: all that meet in a band of few texts, and in rounds those of larger bands, which are put in Gray order of
-another 64 bits each time and compared with their neighbours, until no order finds a link. So the number of comparisons
+compared: all that meet in a band of few texts; those of a larger band are put in Gray order of 64 further bits, in
+ORDERS independent ones, and compared with their neighbours in each. So the number of comparisons
 follows the number of bands a text has, not the size of its group.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsemill.llm.arrow_text import _mixed, pieces
 from pulsemill.llm.bitmap import bitmap, in_bitmap
@@ -53,12 +53,15 @@ WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 SPARE_BITS = 3
-# Candidates that differ in more bits of their first 64 CHECK_WORDS are not compared: at 0.8, 39 differ on average,
-# with a deviation of 5.7 (48 and 6.2 for texts of five shingles); 128 of unrelated texts.
-CHECK_WORDS = 4
-CHECK_RADIUS = 80
+# Candidates that differ in more bits of their first 64 CHECK_WORDS are not compared: at 0.8, 78 differ on average,
+# with a deviation of 8.1 (96 and 8.8 for texts of five shingles); 256 of unrelated texts.
+CHECK_WORDS = 8
+CHECK_RADIUS = 140
 # Texts of a band that are all compared with each other.
 FEW = 8
+# Gray orders of a larger band, each of another word of the wide fingerprint; neighbours in any of them are compared.
+ORDERS = 4
+EDGE = ["a", "b", "edge", "word", "band", "root"]
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
@@ -278,29 +281,23 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     members = cut_lineage(_shared(once("bands").select(F.explode("bands").alias("band"), "text_key")), "members")
     counts = members.groupBy("band").agg(F.count("*").alias("n"))
     big = cut_lineage(members.join(counts.where(F.col("n") > FEW), "band"), "large-bands")
-    many = _sets(rows, big.select("text_key").distinct(), shingle, seed)
     # Most texts of a large group of copies are one component after this, and need not meet each other.
-    tested = cut_lineage(_stars(big), "stars")
-    roots = _joined(None, _similar(_close(info, tested, similarity), many, similarity))
+    close = _close(info, _stars(big), similarity)
+    roots = _joined(None, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
     few = _rooted(members.join(counts.where(F.col("n").between(2, FEW)), "band").select("band", "text_key"), roots)
     one, two = (few.select("band", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b").distinct()
-    close = _close(info, cut_lineage(pairs, "pairs"), similarity)
-    some = _sets(rows, close.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), shingle, seed)
-    roots = _joined(roots, _similar(close, some, similarity))
-    order, quiet = 0, 0
-    while quiet < CHECK_WORDS and not big.isEmpty():
-        near = _neighbours(big, roots, info, order % CHECK_WORDS).join(tested, ["a", "b"], "left_anti")
-        near = cut_lineage(near, "neighbours")
-        found = _similar(_close(info, near, similarity), many, similarity)
-        order, quiet = order + 1, quiet + 1
-        if not found.isEmpty():
-            roots, quiet = _joined(roots, found), 0
-        tested = tested.union(near)
+    pairs = one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b")
+    pairs = pairs.union(_neighbours(big, roots, info, *range(ORDERS)))
+    close = _close(info, cut_lineage(pairs.distinct(), "pairs"), similarity)
+    roots = _joined(roots, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
     found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), roots), "found")
     return _first_of(docs, found, "root")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+
+
 def _shared(spread: DataFrame) -> DataFrame:
     """Rows (band, text_key) whose band others have too; and the first and last row of each sorted partition.
 
@@ -334,21 +331,26 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _stars(big: DataFrame) -> DataFrame:
     """Pairs (a, b) of every text and the most popular text it meets in a large band."""
-    popular = big.groupBy("text_key").agg(F.sum("n").alias("met"))
-    centres = big.select("band", "text_key").join(popular, "text_key")
-    centres = centres.groupBy("band").agg(F.max(F.struct("met", "text_key")).alias("centre"))
+    popular = big.select("band", "text_key", F.sum("n").over(Window.partitionBy("text_key")).alias("met"))
+    centres = popular.groupBy("band").agg(F.max(F.struct("met", "text_key")).alias("centre"))
     nearest = big.select("band", "text_key").join(centres, "band").groupBy("text_key").agg(F.max("centre")["text_key"].alias("centre"))
     ends = F.least("text_key", "centre").alias("a"), F.greatest("text_key", "centre").alias("b")
-    return nearest.where("text_key <> centre").select(*ends).distinct()
+    return cut_lineage(nearest.where("text_key <> centre").select(*ends).distinct(), "stars")
 
 
-def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, word: int) -> DataFrame:
-    """Pairs (a, b) of texts of different components that stand side by side in a band, in Gray order of one word of fingerprints."""
-    placed = _rooted(big.select("band", "text_key"), roots).join(info.select("text_key", gray_rank(F.col("wide")[word]).alias("rank")), "text_key")
-    placed = cut_lineage(placed.select("band", "rank", "text_key", "root"), "placed")
-    ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    ordered = placed.join(ends.select("band"), "band", "left_semi").repartitionByRange("band", "rank", "text_key")
-    ordered = ordered.sortWithinPartitions("band", "rank", "text_key").select("band", "text_key", "root")
+def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, *words: int) -> DataFrame:
+    """Pairs (a, b) of texts of different components that stand side by side in a band, in Gray order of one of these words.
+
+    The words of the wide fingerprint are independent, and each gives an order of its own.
+    """
+    ranks = F.array(*[F.struct(F.lit(w).alias("word"), gray_rank(F.col("wide")[w]).alias("rank")) for w in words])
+    rooted = cut_lineage(_rooted(big.select("band", "text_key"), roots), "rooted")
+    ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = rooted.join(ends.select("band"), "band", "left_semi")
+    placed = mixed.join(info.select("text_key", ranks.alias("ranks")), "text_key").select("band", "text_key", "root", F.inline("ranks"))
+    # Written before it is dealt by range, which reads its input twice.
+    placed = cut_lineage(placed.select("word", "band", "rank", "text_key", "root"), "placed")
+    ordered = placed.repartitionByRange("word", "band", "rank", "text_key").sortWithinPartitions("word", "band", "rank", "text_key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
@@ -358,26 +360,28 @@ def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, word: int) ->
             rows = pa.concat_batches([held, batch]) if held else batch
             if not held:
                 yield _edge(batch.slice(0, 1), 2 * part)
-            band, key, root = (rows.column(c).to_numpy() for c in ("band", "text_key", "root"))
-            at = np.flatnonzero((band[1:] == band[:-1]) & (root[1:] != root[:-1]))
+            word, band, key, root = (rows.column(c).to_numpy() for c in ("word", "band", "text_key", "root"))
+            at = np.flatnonzero((word[1:] == word[:-1]) & (band[1:] == band[:-1]) & (root[1:] != root[:-1]))
             low, high = np.minimum(key[at], key[at + 1]), np.maximum(key[at], key[at + 1])
             none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, none, none], names=["a", "b", "edge", "band", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, none, none, none], names=EDGE)
             held = rows.slice(rows.num_rows - 1)
         if held:
             yield _edge(held, 2 * part + 1)
 
-    found = cut_lineage(ordered.mapInArrow(scan, "a bigint, b bigint, edge bigint, band bigint, root bigint"), "side-by-side")
+    kind = ", ".join(f"{c} bigint" for c in EDGE)
+    found = cut_lineage(ordered.select("word", "band", "text_key", "root").mapInArrow(scan, kind), "side-by-side")
     # The rows at the borders of partitions, two for each: neighbours that a border parts.
     edges = found.where(F.col("edge").isNotNull()).orderBy("edge").collect()
-    parted = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges[1::2], edges[2::2]) if x.band == y.band and x.root != y.root]
+    parted = [(min(x.a, y.a), max(x.a, y.a)) for x, y in zip(edges[1::2], edges[2::2]) if (x.word, x.band) == (y.word, y.band) and x.root != y.root]
     pairs = found.where(F.col("edge").isNull()).select("a", "b")
     return pairs.union(big.sparkSession.createDataFrame(parted, "a bigint, b bigint")).distinct()
 
 
 def _edge(row: pa.RecordBatch, edge: int) -> pa.RecordBatch:
-    columns = [row.column("text_key"), row.column("text_key"), pa.array([edge]), row.column("band"), row.column("root")]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "edge", "band", "root"])
+    key = row.column("text_key")
+    columns = [key, key, pa.array([edge]), row.column("word").cast(pa.int64()), row.column("band"), row.column("root")]
+    return pa.RecordBatch.from_arrays(columns, names=EDGE)
 
 
 def band_settings(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
