@@ -295,7 +295,9 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    """Every text key of the pairs once; each side is made distinct before both are put together."""
+    one, two = (pairs.select(F.col(side).alias("text_key")).distinct() for side in ("a", "b"))
+    return one.union(two).distinct()
 
 
 def _shared(spread: DataFrame) -> DataFrame:
