@@ -6,7 +6,9 @@ only one document of each missing digest is encoded, and its count appended.
 """
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -21,6 +23,14 @@ LIMIT = 512
 _CACHE = "tokenizer string, content string, n_tokens bigint"
 _BATCH_BYTES = 1 << 18
 
+# Byte-level tokenizers cut a text before a single blank between two other characters, whatever stands around: no word runs on
+# over a blank, and a blank before anything but white space begins the next word. So a text's count is the sum of those of its
+# parts, and a task encodes equal parts once. Parts of up to PART characters are remembered, about PARTS of them; both limits
+# concern memory only.
+_BREAK = re.compile(r"(?<=\S)(?= \S)")
+PART = 64
+PARTS = 1 << 19
+
 
 def tokenizer_version(path: str) -> str:
     """Digest of the vocabulary file, the library and its version, and how it is called."""
@@ -33,12 +43,24 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(f"{content} {library.__name__} {library.__version__} plain".encode()).hexdigest()
 
 
+def cuts_at_blanks(model) -> bool:
+    """Whether this tokenizer (of the library for .json) is byte-level with the usual pattern and nothing that looks past a blank."""
+    made = json.loads(model.to_str())
+    before, merges = made["pre_tokenizer"] or {}, made["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not made["normalizer"]
+    strips = any(t[how] for t in made["added_tokens"] for how in ("lstrip", "rstrip", "single_word"))
+    return bool(
+        plain and merges["type"] == "BPE" and not merges.get("dropout") and not strips and not any(_BREAK.search(t["content"]) for t in made["added_tokens"])
+    )
+
+
 class Encoder:
     """Counts tokens with the library that belongs to the file: no added tokens, no truncation, no padding."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.pieces = path.endswith(".model")
+        self.known, self.parts = {}, False
         if self.pieces:
             import sentencepiece
 
@@ -49,8 +71,23 @@ class Encoder:
             self.model = tokenizers.Tokenizer.from_file(path)
             self.model.no_truncation()
             self.model.no_padding()
+            self.parts = cuts_at_blanks(self.model)
 
     def count(self, texts: list[str]) -> list[int]:
+        if not self.parts:
+            return self._whole(texts)
+        parts, known = [_BREAK.split(t) for t in texts], self.known
+        fresh = list(set().union(*parts).difference(known))
+        known.update(zip(fresh, self._whole(fresh)))
+        counts = [sum(map(known.__getitem__, some)) for some in parts]
+        for part in fresh:
+            if len(part) > PART:
+                del known[part]
+        if len(known) > PARTS:
+            known.clear()
+        return counts
+
+    def _whole(self, texts: list[str]) -> list[int]:
         if self.pieces:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)  # the same ids, without offsets
