@@ -275,6 +275,24 @@ def dedup_first_seen(spark, sf_dir):
     return dedup.first_per_id_then_url(event_posts(spark, sf_dir)).select("seq", "tweet_id", "url")
 
 
+def stored_posts(spark, sf_dir):
+    posts, path = event_posts(spark, sf_dir), new_path(spark, "posts-dedup")
+    write_by_date(posts, path)
+    return read_posts(spark, path, posts.schema, position=True)
+
+
+def dedup_stored(spark, sf_dir):
+    """As `dedup_id_url`, of posts in files: their texts are fetched by position."""
+    tie = [F.col("tweet_id").asc(), F.col("seq").asc()]
+    kept = dedup.fetch_late(stored_posts(spark, sf_dir), lambda rows: dedup.latest_per_id_then_url(rows, tie))
+    return kept.select("seq", "tweet_id", "url", "content")
+
+
+def dedup_stored_first(spark, sf_dir):
+    """As `dedup_first_seen`, of posts in files."""
+    return dedup.fetch_late(stored_posts(spark, sf_dir), dedup.first_per_id_then_url).select("seq", "tweet_id", "url", "content")
+
+
 def dedup_identity(spark, sf_dir):
     posts = event_posts(spark, sf_dir).withColumns(
         {
@@ -620,6 +638,8 @@ QUERIES = {
     "topic_match_table": topic_match_table,
     "dedup_id_url": dedup_id_url,
     "dedup_first_seen": dedup_first_seen,
+    "dedup_stored": dedup_stored,
+    "dedup_stored_first": dedup_stored_first,
     "dedup_coalesced_key": dedup_identity,
     "first_query_wins": first_query_wins,
     "unseen_posts": unseen_posts,

@@ -299,6 +299,8 @@ ORACLE["dedup_first_seen"] = select(
     first_by("by_id", "by_url", "url", "seq"),
     body="SELECT seq, tweet_id, url FROM by_url",
 )
+ORACLE["dedup_stored"] = ORACLE["dedup_id_url"].replace("SELECT seq, tweet_id, url FROM", "SELECT seq, tweet_id, url, content FROM")
+ORACLE["dedup_stored_first"] = ORACLE["dedup_first_seen"].replace("SELECT seq, tweet_id, url FROM", "SELECT seq, tweet_id, url, content FROM")
 ORACLE["dedup_coalesced_key"] = select(
     POSTS,
     """keyed AS (

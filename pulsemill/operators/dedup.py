@@ -2,11 +2,35 @@
 
 Every variant is `row_number() = 1` over a key. Spark turns that into a per-task group limit
 before the shuffle, so of a key that holds a third of all rows each map task sends one row.
+
+Of rows that lie in parquet files, `fetch_late` decides on narrow rows and fetches the texts of those that won.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# File and row number there: together they identify a stored row.
+POSITION = ("_file", "_row")
+
+
+def with_position(stored: DataFrame) -> DataFrame:
+    """Rows as read from parquet (filtered or projected at most), with their POSITION."""
+    return stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def fetch_late(placed: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that `choose` keeps of rows with a POSITION, without it.
+
+    `choose` runs on what it compares alone, since only the positions of its rows are asked for. Whole rows then move
+    once, to meet the positions that won, or not at all where Spark finds these small enough to send round. The
+    files are read twice. NULL keys, ties and repeated rows are as `choose` treats them; an empty table stays empty.
+    """
+    won = choose(placed).select(*POSITION)
+    return placed.join(won, list(POSITION), "left_semi").drop(*POSITION)
+
+
 def keep_first(df: DataFrame, key, order, null_keys: str = "merge") -> DataFrame:
     """One row per key: the first in `order`.
 
@@ -23,20 +47,31 @@ def keep_first(df: DataFrame, key, order, null_keys: str = "merge") -> DataFrame
 
 def row_tie(df: DataFrame) -> Column:
     """A last tie-breaker that depends on the row's values alone."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in POSITION])
+
+
+def _per_id_then_url(df: DataFrame, order: list, null_keys: str) -> DataFrame:
+    """The first row per `tweet_id`, then of those the first per `url`; equal rows that have a POSITION by this."""
+    order = [*order, *[F.col(c).asc() for c in POSITION if c in df.columns]]
+    return keep_first(keep_first(df, "tweet_id", order, null_keys), "url", order, null_keys)
+
+
+def _tied(df: DataFrame) -> DataFrame:
+    """With the tie-breaker as a column, so that later steps need not carry what it is made of."""
+    return df.withColumn("_tie", row_tie(df))
 
 
 def latest_per_id_then_url(df: DataFrame, tie=None, null_keys: str = "merge") -> DataFrame:
     """The newest row per `tweet_id`, then of those the newest per `url`."""
-    tie = tie or [F.col("tweet_id").asc(), row_tie(df).asc()]
-    order = [F.col("ts").desc(), *tie]
-    return keep_first(keep_first(df, "tweet_id", order, null_keys), "url", order, null_keys)
+    newest = F.col("ts").desc()
+    if tie:
+        return _per_id_then_url(df, [newest, *tie], null_keys)
+    return _per_id_then_url(_tied(df), [newest, F.col("tweet_id").asc(), F.col("_tie").asc()], null_keys).drop("_tie")
 
 
 def first_per_id_then_url(df: DataFrame, arrival="seq", null_keys: str = "merge") -> DataFrame:
     """The first to arrive per `tweet_id`, then per `url`."""
-    order = [F.col(arrival).asc(), row_tie(df).asc()]
-    return keep_first(keep_first(df, "tweet_id", order, null_keys), "url", order, null_keys)
+    return _per_id_then_url(_tied(df), [F.col(arrival).asc(), F.col("_tie").asc()], null_keys).drop("_tie")
 
 
 def identity_key() -> Column:

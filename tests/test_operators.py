@@ -1,9 +1,11 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.operators import dedup, quality, stats, topics
 from pulsemill.plans import collect
+from pulsemill.session import new_path
 
 def now():
     return F.lit("2026-01-14T12:00:00Z").cast("timestamp")
@@ -78,6 +80,48 @@ def test_dedup_limits_hot_keys_before_the_shuffle(spark):
     assert first.count() == 20_001
 
 
+def stored(spark, rows):
+    path = new_path(spark, "positions")
+    rows.repartition(3).write.parquet(path)
+    return dedup.with_position(spark.read.schema(rows.schema).parquet(path))
+
+
+@pytest.mark.parametrize("null_keys", ["merge", "keep"])
+def test_rows_fetched_by_position(spark, null_keys):
+    """Ties, repeated rows and NULL keys of stored rows end as those of any others."""
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 41).cast("string")).alias("tweet_id"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 53).cast("string")).alias("url"),
+        (F.timestamp_seconds(F.col("id") % 5)).alias("ts"),
+        (F.col("id") % 11).alias("seq"),
+        F.repeat(F.lit("x"), (F.col("id") % 4).cast("int")).alias("content"),
+    )
+    placed = stored(spark, rows)
+    for choose in (dedup.latest_per_id_then_url, dedup.first_per_id_then_url):
+        late = dedup.fetch_late(placed, lambda p: choose(p, null_keys=null_keys))
+        assert late.columns == rows.columns
+        assert sorted(map(repr, late.collect())) == sorted(map(repr, choose(rows, null_keys=null_keys).collect()))
+        assert dedup.fetch_late(placed.where("false"), choose).count() == 0
+
+
+@pytest.mark.parametrize("choose", [dedup.latest_per_id_then_url, dedup.first_per_id_then_url])
+def test_texts_of_stored_rows_move_once(spark, choose):
+    rows = spark.range(100).selectExpr("string(id % 9) tweet_id", "string(id % 7) url", "timestamp_seconds(id) ts", "id seq", "'text' content")
+    placed, limit = stored(spark, rows), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dedup.fetch_late(placed, choose)._jdf.queryExecution().executedPlan()
+        tree, moved = [plan.initialPlan()], []
+        while tree:
+            node = tree.pop()
+            tree += [node.children().apply(k) for k in range(node.children().size())]
+            if "Exchange" in node.nodeName():
+                moved.append("content" in node.output().mkString(","))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved.count(True) == 1 and len(moved) >= 3
+
+
 def test_first_seen_variants(spark):
     rows = [
         ("a", "u1", None, "x", None), ("a", "u9", None, "y", None), ("", "u1", None, "x", None),
