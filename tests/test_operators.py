@@ -122,6 +122,32 @@ def test_texts_of_stored_rows_move_once(spark, choose):
     assert moved.count(True) == 1 and len(moved) >= 3
 
 
+@pytest.mark.parametrize("null_keys", ["merge", "keep"])
+def test_rows_fetched_by_bitmaps(spark, null_keys):
+    """With `marked`, the same rows (also of files of more than one bitmap), and no text is shuffled."""
+    rows = spark.range(80_000).selectExpr(
+        "if(id % 3 > 0, string(id % 40009), null) tweet_id", "if(id % 7 > 0, string(id % 53017), null) url",
+        "timestamp_seconds(id % 5) ts", "id % 11 seq", "string(id) content",
+    )
+    path = new_path(spark, "bitmaps")
+    rows.coalesce(1).write.parquet(path)
+    rows.limit(0).union(rows.where("seq = 3 and tweet_id is not null")).repartition(2).write.mode("append").parquet(path)
+    placed = dedup.with_position(spark.read.schema(rows.schema).parquet(path))
+    for choose in (dedup.latest_per_id_then_url, dedup.first_per_id_then_url):
+        late = dedup.fetch_late(placed, lambda p: choose(p, null_keys=null_keys), marked=True)
+        assert late.columns == rows.columns
+        assert sorted(late.collect(), key=repr) == sorted(choose(placed, null_keys=null_keys).drop(*dedup.POSITION).collect(), key=repr)
+        assert dedup.fetch_late(placed.where("false"), choose, marked=True).count() == 0
+    plan = dedup.fetch_late(placed, choose, marked=True)._jdf.queryExecution().executedPlan()
+    tree, moved = [plan.initialPlan()], []
+    while tree:
+        node = tree.pop()
+        tree += [node.children().apply(k) for k in range(node.children().size())]
+        if "Exchange" in node.nodeName():
+            moved.append("content" in node.output().mkString(","))
+    assert not any(moved) and len(moved) >= 3
+
+
 def test_first_seen_variants(spark):
     rows = [
         ("a", "u1", None, "x", None), ("a", "u9", None, "y", None), ("", "u1", None, "x", None),
