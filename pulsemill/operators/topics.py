@@ -1,5 +1,7 @@
 """Label posts by the first topic rule they match."""
 
+import re
+import unicodedata
 from functools import reduce
 from operator import and_, or_
 
@@ -41,9 +43,26 @@ def topic_label(tokens: Column, rules=TOPIC_RULES) -> Column:
 
 def match_topics(posts: DataFrame, rules=TOPIC_RULES) -> DataFrame:
     """Posts with a `topic` label, found without a join; unmatched posts get NULL."""
-    wanted = {w for _, _, clauses in parse_rules(rules) for words in clauses for w in words}
-    tokens = posts.withColumn("_tokens", topic_tokens(F.col("content"), wanted))
-    return tokens.withColumn("topic", topic_label(F.col("_tokens"), rules)).drop("_tokens")
+    return posts.withColumn("topic", _label_of(F.col("content"), rules))
+
+
+def _holds(text: Column, word: str) -> Column:
+    """Whether `topic_tokens` of the lower-cased text hold the word. A plain search comes first: most texts lack most words."""
+    run = word.lstrip("#")
+    if len(word) - len(run) > 1 or not run or any(unicodedata.category(c)[0] not in "LN" and c != "_" for c in run):
+        return F.lit(False)  # not a token
+    mark = "#" if word != run else ""
+    free = f"{mark}{re.escape(run)}(?<!{WORD_CLASS}{re.escape(run)})(?!{WORD_CLASS})"
+    return text.contains(word) & text.rlike(free)
+
+
+def _label_of(content: Column, rules) -> Column:
+    """As `topic_label` of the text's tokens, without a list of tokens."""
+    text = F.lower(F.coalesce(content, F.lit("")))
+    branches = [
+        F.when(reduce(or_, [reduce(and_, [_holds(text, w) for w in c]) for c in clauses]), label) for _, label, clauses in parse_rules(rules)
+    ]
+    return F.coalesce(*branches)
 
 
 def rule_words(rules: DataFrame) -> DataFrame:
@@ -60,11 +79,12 @@ def match_topic_table(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """As `match_topics`, for a rule table of any size.
 
     A label depends on the text alone, so texts are labelled once each, by digest, and labels joined back. The words
-    of the texts are equi-joined with the rules' words; a text meets at most the rules that share one with it.
+    of the texts are equi-joined with the rules' words; a text meets at most the rules that share one with it. The rules are
+    sent round, whatever Spark takes their size for: dealt by word, every word of every text would be shuffled.
     """
-    keyed = posts.withColumn("_text", F.sha2(F.coalesce("content", F.lit("")), 256))
+    keyed = posts.withColumn("_text", F.unhex(F.sha2(F.coalesce("content", F.lit("")), 256)))
     words = keyed.select("_text", F.explode(topic_tokens(F.col("content"))).alias("word"))
-    hits = words.join(rule_words(rules), "word").distinct().groupBy("_text", "ord", "clause", "label", "needed")
+    hits = words.join(F.broadcast(rule_words(rules)), "word").distinct().groupBy("_text", "ord", "clause", "label", "needed")
     full = hits.count().where(F.col("count") == F.col("needed"))
     labels = full.groupBy("_text").agg(F.min_by("label", "ord").alias("topic"))
     return keyed.join(labels, "_text", "left").drop("_text")

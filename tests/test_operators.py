@@ -178,6 +178,30 @@ def test_topics(spark):
     assert [table.get(n) for n in range(len(texts))] == want
 
 
+def test_topics_by_searches_are_those_of_tokens(spark):
+    """Searches in the text find what a list of its tokens holds, at all ends of words."""
+    rules = (("A", "#nifty50"), ("B", "nifty today OR #x_1 y"), ("C", "बाज़ार"), ("D", "a-b"), ("E", "##bse"), ("F", "bse"))
+    words = ["#nifty50", "nifty50", "Nifty", "xnifty", "nifty9", "##nifty", "a#x_1", "#x_1y", "y", "today", "_today", "बाज़ार", "बाज़ारx", "a-b", "##bse", "#bse", "BSE."]
+    texts = [f"{a}{gap}{b}" for a in words for b in words for gap in (" ", "", "\n#")]
+    df = spark.createDataFrame([(t,) for t in texts], "content STRING")
+    want = topics.topic_label(topics.topic_tokens(F.col("content")), rules)
+    found = topics.match_topics(df.withColumn("want", want), rules)
+    assert found.where(~F.col("topic").eqNullSafe(F.col("want"))).collect() == []
+    assert "regexp_extract_all" not in topics.match_topics(df, rules)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_sent_to_the_words(spark):
+    """Words of texts are not shuffled to meet the rules, whose size Spark does not know."""
+    rules = spark.createDataFrame(topics.parse_rules(), "ord INT, label STRING, clauses ARRAY<ARRAY<STRING>>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = topics.match_topic_table(spark.createDataFrame([("nifty options",)], "content STRING"), rules)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [word" in plan.toString()
+
+
 def test_stats(spark):
     df = spark.createDataFrame(
         [
