@@ -15,8 +15,12 @@ def _nfkc_udf():
     normalize = unicodedata.normalize
 
     def nfkc_batch(batch: pa.Array) -> pa.Array:
-        texts = batch.to_pylist()
-        return pa.array([t if t is None else normalize("NFKC", t) for t in texts], pa.string())
+        # Few texts at a time: a batch is never held as Python strings.
+        parts = [pa.array([], pa.string())]
+        for n in range(0, len(batch), 64):
+            texts = batch.slice(n, 64).to_pylist()
+            parts.append(pa.array([t if t is None else normalize("NFKC", t) for t in texts], pa.string()))
+        return pa.concat_arrays(parts)
 
     return F.arrow_udf(nfkc_batch, "string")
 

@@ -162,3 +162,26 @@ def test_stop_words(spark):
 
     listed = StopWordsRemover.loadDefaultStopWords("english")
     assert v.ENGLISH_STOP_WORDS == tuple(w for w in listed if re.fullmatch(r"\w{2,}", w))
+
+
+def test_nfkc_holds_few_texts_of_a_batch(monkeypatch):
+    """A batch is normalised in short slices, never as one list of Python strings."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from pulsemill.functions import text
+
+    class Batch(list):
+        def slice(self, start, size):
+            return Batch(self[start : start + size])
+
+        def to_pylist(self):
+            assert len(self) <= 64
+            return list(self)
+
+    texts = [None if n % 7 == 0 else f"Ａé　{n}" for n in range(300)]
+    monkeypatch.setattr(text.F, "arrow_udf", lambda function, kind: function)
+    run = text._nfkc_udf()
+    assert run(Batch(texts)).to_pylist() == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    assert run(pa.array([], pa.string())).to_pylist() == []
