@@ -15,8 +15,9 @@ independent bits), whose bits are cut into bands: texts that agree in one whole
 similarity decides. Where many texts meet in a band, each is first compared with the most popular one it meets (the
 text that meets most others, hence the least altered of a group of copies), once. Then texts of different components are
 compared: all that meet in a band of few texts; those of a larger band are put in Gray order of 64 further bits, in
-ORDERS independent ones, and compared with their neighbours in each. So the number of comparisons
-follows the number of bands a text has, not the size of its group.
+ORDERS independent ones, and compared with their neighbours in each. So far the number of comparisons
+follows the number of bands a text has, not the size of its group. What is left of the large bands, texts of components
+that no comparison has joined yet, is compared whole (`_rest`): blocks of texts meet blocks of texts, in tasks of bounded memory.
 """
 
 import math
@@ -62,6 +63,8 @@ FEW = 8
 # Gray orders of a larger band, each of another word of the wide fingerprint; neighbours in any of them are compared.
 ORDERS = 4
 EDGE = ["a", "b", "edge", "word", "band", "root"]
+# Shingles in a block of texts that is compared with another block.
+BLOCK_SHINGLES = 1 << 19
 
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 _UPPER = bytes(range(65, 91))
@@ -290,6 +293,10 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     pairs = pairs.union(_neighbours(big, roots, info, *range(ORDERS)))
     close = _close(info, cut_lineage(pairs.distinct(), "pairs"), similarity)
     roots = _joined(roots, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
+    rest = cut_lineage(_rest(big, roots, info), "rest")
+    if not rest.isEmpty():
+        sets = _sets(rows, rest.select("text_key"), shingle, seed)
+        roots = _joined(roots, cut_lineage(_block_links(rest, sets, similarity), "block-links"))
     found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), roots), "found")
     return _first_of(docs, found, "root")
 
@@ -380,6 +387,74 @@ def _neighbours(big: DataFrame, roots: DataFrame, info: DataFrame, *words: int)
     return pairs.union(big.sparkSession.createDataFrame(parted, "a bigint, b bigint")).distinct()
 
 
+def _rest(big: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+    """Texts of large bands that hold several components: (text_key, root, size, pool, main).
+
+    Components that share such a band, directly or by others, are one pool; `main` marks the texts of a pool's largest component.
+    Texts that meet in a large band are of one component or of one pool.
+    """
+    rooted = cut_lineage(_rooted(big.select("band", "text_key"), roots), "band-roots")
+    ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = cut_lineage(rooted.join(ends.select("band", "low"), "band"), "mixed-bands")
+    links = mixed.select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()
+    pools = smallest_reachable(links).select(F.col("node").alias("root"), F.col("root").alias("pool"))
+    texts = mixed.select("text_key", "root").distinct().join(info.select("text_key", "size"), "text_key")
+    texts = texts.join(pools, "root", "left").withColumn("pool", F.coalesce("pool", "root"))
+    texts = cut_lineage(texts, "pooled")
+    parts = texts.groupBy("pool", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("pool").agg(F.max(F.struct("n", "root"))["root"].alias("first"))
+    return texts.join(main, "pool").select("text_key", "root", "size", "pool", (F.col("root") == F.col("first")).alias("main"))
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that join all texts of one pool, but of different components, that are similar enough.
+
+    Of two such texts one at least is not of the main component: those texts probe all. Probes and members are dealt into blocks
+    by their number of shingles, and every block of probes meets every block of members in a group of its own.
+    """
+    per = lambda of: F.ceil(F.sum(of) / F.lit(block)).cast("int")
+    blocks = rest.groupBy("pool").agg(
+        per(F.col("size")).alias("members"), F.coalesce(per(F.when(~F.col("main"), F.col("size"))), F.lit(0)).alias("probes")
+    )
+    blocks = blocks.select("pool", *[F.greatest(c, F.lit(1)).alias(c) for c in ("members", "probes")])
+    keyed = rest.join(blocks, "pool").join(sets, "text_key")
+    own = lambda of: F.pmod(F.xxhash64("text_key"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    columns = ["pool", "text_key", "root", "shingles"]
+    members = keyed.select(*columns, F.lit(False).alias("probe"), own("members").alias("member_block"), every("probes").alias("probe_block"))
+    probes = keyed.where(~F.col("main")).select(
+        *columns, F.lit(True).alias("probe"), every("members").alias("member_block"), own("probes").alias("probe_block")
+    )
+
+    def meet(group: pa.Table) -> pa.Table:
+        probe = group.column("probe").to_numpy()
+        a, b = _similar_pairs(group.filter(pa.array(probe)), group.filter(pa.array(~probe)), similarity)
+        found = forest(a, b)
+        return pa.table({"a": pa.array(found.a.to_numpy(), pa.int64()), "b": pa.array(found.b.to_numpy(), pa.int64())})
+
+    dealt = probes.unionByName(members).groupBy("pool", "member_block", "probe_block")
+    return dealt.applyInArrow(meet, "a bigint, b bigint")
+
+
+def _similar_pairs(probes: pa.Table, members: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of the pairs (probe, member) of different components that are similar enough, counted by the members' shingles."""
+    sets, roots, held = members.column("shingles").combine_chunks(), members.column("root").to_numpy(), [np.zeros((2, 0), np.int64)]
+    values, sizes = sets.flatten().to_numpy(), sets.value_lengths().to_numpy()
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    for root, shingles in zip(probes.column("root").to_pylist(), probes.column("shingles")):
+        mine = shingles.values.to_numpy()
+        low, high = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        shared = np.bincount(owner[at], minlength=len(sizes))
+        near = (shared * (1 + similarity) >= similarity * (len(mine) + sizes) - 1e-9) & (roots != root)
+        other = np.unique(roots[near])
+        held.append(np.array([np.full(len(other), root), other]))
+    a, b = np.concatenate(held, axis=1)
+    return a, b
+
+
 def _edge(row: pa.RecordBatch, edge: int) -> pa.RecordBatch:
     key = row.column("text_key")
     columns = [key, key, pa.array([edge]), row.column("word").cast(pa.int64()), row.column("band"), row.column("root")]

@@ -90,3 +90,44 @@ def test_odd_texts(spark):
     kept = {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()}
     assert kept == {0, 3, 5, 6, 8}
     assert simhash_dedup.keep_dissimilar(table(spark, texts).limit(0)).columns == ["doc_id", "text", "band", "text_key", "root"]
+
+
+def meeting(texts, similarity=0.8):
+    """Components over all pairs of texts that share a band and are similar enough: what no cap may lessen."""
+    bits, bands = simhash_dedup.band_settings(len(texts))
+    sets = [np.unique(simhash_dedup.shingle_hashes(t, 5)) for t in texts]
+    keys = [set(simhash_dedup._sketch(h, bits, bands)[1].tolist()) for h in sets]
+    sets, root = [set(h.tolist()) for h in sets], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def test_no_link_of_a_large_band_is_lost(spark):
+    # Copies of one text too far from each other to be linked; half of them have a close copy of their own.
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(500)}" for _ in range(200)]
+    texts = [altered(draw, base, 0.04) for _ in range(600)]
+    texts += [altered(draw, t.split(), 0.022) for t in texts[:300]]
+    got = {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()}
+    assert got == set(meeting(texts))
+
+
+def test_blocks_meet_all_blocks(spark):
+    draw = random.Random(5)
+    sets = [sorted(draw.sample(range(40), draw.randrange(30, 41))) for _ in range(60)] + [[], []]
+    rows = [(k, k // 2 * 2, len(s), k % 3, k < 20) for k, s in enumerate(sets)]
+    rest = spark.createDataFrame(rows, "text_key BIGINT, root BIGINT, size BIGINT, pool BIGINT, main BOOLEAN")
+    held = spark.createDataFrame(list(enumerate(sets)), "text_key BIGINT, shingles ARRAY<BIGINT>")
+    found = {tuple(r) for r in simhash_dedup._block_links(rest, held, 0.8, block=100).collect()}
+    links = set()
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            alike = len({*a} & {*b}) >= 0.8 * len({*a} | {*b}) - 1e-9
+            if i % 3 == j % 3 and i // 2 != j // 2 and not (i < 20 and j < 20) and alike:
+                links.add((i // 2 * 2, j // 2 * 2))
+    reach = lambda pairs: simhash_dedup.forest(*np.array(sorted(pairs), np.int64).T).values.tolist()
+    assert links and reach(found) == reach(links)
