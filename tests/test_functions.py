@@ -185,3 +185,20 @@ def test_nfkc_holds_few_texts_of_a_batch(monkeypatch):
     run = text._nfkc_udf()
     assert run(Batch(texts)).to_pylist() == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
     assert run(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_all_white_space_is_cut(apply):
+    inside = f"a{fn.text.SPACES}b"
+    texts = [f"{fn.text.SPACES}{inside}{fn.text.SPACES[::-1]}", fn.text.SPACES, "\u200b x \r\n", "", None, "e\u200d\u0301", "\u00a0e\u0301 "]
+    assert apply(fn.strip_space, texts) == [inside, "", "\u200b x", "", None, "e\u200d\u0301", "e\u0301"]
+    assert apply(fn.normalize_text, texts) == ["a b", "", "x", "", "", "e\u0301", "\u00e9"]
+
+
+def plan_of(spark, work):
+    posts = spark.createDataFrame([("a  b",)], "content STRING")
+    return posts.select(work(F.col("content")))._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_white_space_needs_no_regular_expression(spark):
+    for work in (fn.normalize_text, fn.strip_space):
+        assert "regexp" not in plan_of(spark, work) and "rlike" not in plan_of(spark, work)
