@@ -1,8 +1,7 @@
 """Per-post scores."""
 
-from functools import reduce
-from operator import add
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as v
@@ -17,7 +16,7 @@ def lexicon_polarity(
     """Sign of (bullish terms present - bearish terms present), each term counted once.
 
     `match="substring"` finds "gain" in "against"; `match="token"` asks for a free-standing term.
-    The lexicon is folded into one expression, so no join and no Python is involved.
+    The terms are searched for in an Arrow worker, several times as fast there as one expression a term; there is no join.
     """
     if match not in ("substring", "token"):
         raise ValueError(f"unknown match: {match}")
@@ -26,17 +25,47 @@ def lexicon_polarity(
         # Pad each run of word characters (marks included) so that a term is a plain substring.
         text = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}_]+", " "), F.lit(" "))
 
-    def present(term):
-        return text.contains(f" {term.lower()} " if match == "token" else term.lower()).cast("int")
+    pad = " " if match == "token" else ""
+    terms = [(pad + t.lower() + pad, sign) for sign, found in ((1, bullish), (-1, bearish)) for t in found]
+    return F.signum(_balance_udf(terms)(text)).cast("int")
+
+
+def _balance_udf(terms):
+    """Sum of the signs of the terms that a text holds. Built in a closure: executors need no copy of this package.
+
+    Places whose first three bytes begin a term are found for all terms at once, and the rest is compared there.
+    """
+    terms = [(np.frombuffer(t.encode(), np.uint8), sign) for t, sign in terms]
+    long = [(t, sign, t[0] << 16 | t[1] << 8 | t[2]) for t, sign in ((t.astype(np.int32), sign) for t, sign in terms if len(t) > 2)]
+    short = [(t.tobytes(), sign) for t, sign in terms if len(t) < 3]
+    starts = np.unique(np.array([code for _, _, code in long], np.int32))
+    pairs = np.zeros(1 << 16, bool)
+    pairs[starts >> 8] = True
+    most = max([len(t) for t, _ in terms], default=0)
+
+    def some(texts):
+        joined = b"".join(texts)
+        data = np.frombuffer(joined + bytes(most + 2), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        at = np.flatnonzero(pairs[data[: len(joined)].astype(np.uint16) << 8 | data[1 : len(joined) + 1]])
+        code = data[at].astype(np.int32) << 16 | data[at + 1].astype(np.int32) << 8 | data[at + 2]
+        known = starts[np.minimum(np.searchsorted(starts, code), len(starts) - 1)] == code if len(starts) else np.zeros(0, bool)
+        at, code = at[known], code[known]
+        sums = np.array([sum([sign for t, sign in short if t in text]) for text in texts], np.int32)
+        for term, sign, first in long:
+            place = at[code == first]
+            for n in range(3, len(term)):
+                place = place[data[place + n] == term[n]]
+            text = np.searchsorted(ends, place, side="right")
+            # A term never begins in one text and ends in the next.
+            sums[np.unique(text[place + len(term) <= ends[text]])] += sign
+        return sums
 
-    def balance(ascii_terms):
-        hits = [present(t) for t in bullish if t.isascii() == ascii_terms]
-        hits += [-present(t) for t in bearish if t.isascii() == ascii_terms]
-        return reduce(add, hits, F.lit(0))
+    def balance(batch: pa.Array) -> pa.Array:
+        sums = [some(batch.slice(n, 256).cast(pa.large_binary()).to_pylist()) for n in range(0, len(batch), 256)]
+        return pa.array(np.concatenate([np.zeros(0, np.int32), *sums]))
 
-    # An ASCII text cannot hold a term of another script.
-    foreign = F.when(text.rlike(r"[^\x00-\x7F]"), balance(False)).otherwise(0)
-    return F.signum(balance(True) + foreign).cast("int")
+    return F.arrow_udf(balance, "int")
 
 
 def engagement_weight(likes: Column, retweets: Column, replies: Column) -> Column:

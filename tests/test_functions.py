@@ -202,3 +202,20 @@ def plan_of(spark, work):
 def test_white_space_needs_no_regular_expression(spark):
     for work in (fn.normalize_text, fn.strip_space):
         assert "regexp" not in plan_of(spark, work) and "rlike" not in plan_of(spark, work)
+
+
+def test_lexicon_terms_at_every_place(apply):
+    # Terms across the border of two texts, of one and two letters, repeated, and equal in their first letters.
+    terms = {"bullish": ("a", "ab", "abc", "abcd", "abxy", "तेज़ी", "ते", "ab"), "bearish": ("z", "zz", "abce", "xyz q", "zzz", "तेल")}
+    texts = ["abc", "d", "ab", "xy", "xyz", " q", "ABCD abce", "zzzz", "", None, "तेल", "ते", "ज़ी तेज़ी", "xyz qab"] * 40
+
+    def sign(text):
+        text = (text or "").lower()
+        balance = sum(t in text for t in terms["bullish"]) - sum(t in text for t in terms["bearish"])
+        return (balance > 0) - (balance < 0)
+
+    assert apply(lambda c: fn.lexicon_polarity(c, **terms), texts) == [sign(t) for t in texts]
+
+
+def test_lexicon_is_one_search(spark):
+    assert "contains(" not in plan_of(spark, fn.lexicon_polarity)
