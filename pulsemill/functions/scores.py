@@ -33,27 +33,32 @@ def lexicon_polarity(
 def _balance_udf(terms):
     """Sum of the signs of the terms that a text holds. Built in a closure: executors need no copy of this package.
 
-    Places whose first three bytes begin a term are found for all terms at once, and the rest is compared there.
+    Places whose first three bytes begin a term are found for all terms at once, and the rest is compared there: terms are put into
+    eight groups, a bit each, and a byte's bits say in which groups it may be first, second or third.
     """
     terms = [(np.frombuffer(t.encode(), np.uint8), sign) for t, sign in terms]
     long = [(t, sign, t[0] << 16 | t[1] << 8 | t[2]) for t, sign in ((t.astype(np.int32), sign) for t, sign in terms if len(t) > 2)]
     short = [(t.tobytes(), sign) for t, sign in terms if len(t) < 3]
     starts = np.unique(np.array([code for _, _, code in long], np.int32))
-    pairs = np.zeros(1 << 16, bool)
-    pairs[starts >> 8] = True
+    groups = np.zeros((3, 256), np.uint8)
+    for bit, some_starts in enumerate(np.array_split(starts, 8)):
+        for n in range(3):
+            groups[n, some_starts >> (16 - 8 * n) & 255] |= 1 << bit
+    groups = [g.tobytes() for g in groups]
     most = max([len(t) for t, _ in terms], default=0)
 
     def some(texts):
-        joined = b"".join(texts)
-        data = np.frombuffer(joined + bytes(most + 2), np.uint8)
+        joined = b"".join([*texts, bytes(most + 2)])
+        data, size = np.frombuffer(joined, np.uint8), len(joined) - most - 2
+        first, second, third = (np.frombuffer(joined.translate(g), np.uint8)[n : n + size] for n, g in enumerate(groups))
         ends = np.cumsum([len(t) for t in texts])
-        at = np.flatnonzero(pairs[data[: len(joined)].astype(np.uint16) << 8 | data[1 : len(joined) + 1]])
+        at = np.flatnonzero((first & second & third) != 0)
         code = data[at].astype(np.int32) << 16 | data[at + 1].astype(np.int32) << 8 | data[at + 2]
         known = starts[np.minimum(np.searchsorted(starts, code), len(starts) - 1)] == code if len(starts) else np.zeros(0, bool)
         at, code = at[known], code[known]
         sums = np.array([sum([sign for t, sign in short if t in text]) for text in texts], np.int32)
-        for term, sign, first in long:
-            place = at[code == first]
+        for term, sign, start in long:
+            place = at[code == start]
             for n in range(3, len(term)):
                 place = place[data[place + n] == term[n]]
             text = np.searchsorted(ends, place, side="right")

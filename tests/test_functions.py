@@ -219,3 +219,13 @@ def test_lexicon_terms_at_every_place(apply):
 
 def test_lexicon_is_one_search(spark):
     assert "contains(" not in plan_of(spark, fn.lexicon_polarity)
+
+
+def test_terms_that_share_first_bytes_are_told_apart(spark):
+    """More terms than groups, with common beginnings, at ends of texts, in ASCII and beyond it, against Python's own search."""
+    up, down = ("gain", "gainer", "gap", "tej", "तेज़ी", "तेजी", "zz", "é"), ("gait", "ga", "bend", "ben", "beta", "तेल", "मंदी", "loss", "lot", "xyz")
+    texts = ["against gait", "ga", "gainer gap", "teje tej", "तेज़ी तेल", "तेजी", "मंदी", "", "bendz", "z", "zebra gai", "n xy", "z lo", "ss", "été lossy", "beta ben"] * 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "n INT, x STRING").coalesce(1)
+    got = [r.y for r in rows.select("n", fn.lexicon_polarity(F.col("x"), up, down).alias("y")).orderBy("n").collect()]
+    sums = [sum(t in x for t in up) - sum(t in x for t in down) for x in texts]
+    assert got == [(s > 0) - (s < 0) for s in sums]
