@@ -16,8 +16,11 @@ similarity decides. Where many texts meet in a band, each is first compared with
 text that meets most others, hence the least altered of a group of copies), once. Then texts of different components are
 compared: all that meet in a band of few texts; those of a larger band are put in Gray order of 64 further bits, in
 ORDERS independent ones, and compared with their neighbours in each. So far the number of comparisons
-follows the number of bands a text has, not the size of its group. What is left of the large bands, texts of components
-that no comparison has joined yet, is compared whole (`_rest`): blocks of texts meet blocks of texts, in tasks of bounded memory.
+follows the number of bands a text has, not the size of its group. Pairs that no band brings together, or that the wide
+fingerprints keep apart, are found by shingles: sets of this similarity share one at least of their rarest shingles (`_rarest`),
+whatever the order of rareness, so texts of different components that share one are compared. What is left of large bands and of
+shingles of many texts is compared whole (`_rest`): blocks of texts meet blocks of texts, in tasks of bounded memory. So the
+components are those of all similar pairs.
 """
 
 import math
@@ -54,8 +57,8 @@ WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 SPARE_BITS = 3
-# Candidates that differ in more bits of their first 64 CHECK_WORDS are not compared: at 0.8, 78 differ on average,
-# with a deviation of 8.1 (96 and 8.8 for texts of five shingles); 256 of unrelated texts.
+# Candidates of bands that differ in more bits of their first 64 CHECK_WORDS are left to the comparison by shingles: at 0.8,
+# 78 differ on average, with a deviation of 8.1 (96 and 8.8 for texts of five shingles); 256 of unrelated texts.
 CHECK_WORDS = 8
 CHECK_RADIUS = 140
 # Texts of a band that are all compared with each other.
@@ -63,6 +66,11 @@ FEW = 8
 # Gray orders of a larger band, each of another word of the wide fingerprint; neighbours in any of them are compared.
 ORDERS = 4
 EDGE = ["a", "b", "edge", "word", "band", "root"]
+# Texts whose shingles are counted, about; in how many of them a shingle is common; and the most that are told (512 KB). They
+# decide which shingles are taken for rare, hence how many texts meet, never what is found.
+SAMPLED = 8192
+OFTEN = 4
+COMMON = 1 << 16
 # Shingles in a block of texts that is compared with another block.
 BLOCK_SHINGLES = 1 << 19
 
@@ -254,13 +262,15 @@ def _first_of(docs: DataFrame, found: DataFrame, *component) -> DataFrame:
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
     """One document of each group that pairs of at least `similarity` connect: that of the smallest doc_id (then text hash).
 
-    Similarity is the Jaccard index of the sets of word shingles. Every pair that is linked was compared exactly; of the
-    pairs at just `similarity`, RECALL meet in a band, of more similar ones more. NULL, empty and blank texts are alike. Texts of
-    any length are compared whole. All columns as they are, whatever their names; of rows that agree in doc_id and text
+    Similarity is the Jaccard index of the sets of word shingles. Every pair that is linked was compared exactly, and no pair is
+    missed: of those at just `similarity`, RECALL meet in a band, the others by a rare shingle. NULL, empty and blank texts are
+    alike. Texts of any length are compared whole. All columns as they are, whatever their names; of rows that agree in doc_id and text
     one stays. An empty table stays empty.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    bits, bands = band_settings(docs.count(), similarity)
+    n = docs.count()
+    bits, bands = band_settings(n, similarity)
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, n, shingle, seed))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -273,11 +283,12 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
                     pa.array([len(h) for h in sets], pa.int64()),
                     pa.array([w for w, _ in found], pa.list_(pa.int64())),
                     pa.array([k for _, k in found], pa.list_(pa.int64())),
+                    pa.array([_rarest(h, similarity, *common.value).view(np.int64) for h in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "size", "wide", "bands"],
+                names=["doc_id", "text_key", "size", "wide", "bands", "rarest"],
             )
 
-    kind = "doc_id bigint, text_key bigint, size bigint, wide array<bigint>, bands array<bigint>"
+    kind = "doc_id bigint, text_key bigint, size bigint, wide array<bigint>, bands array<bigint>, rarest array<bigint>"
     sketches = cut_lineage(rows.mapInArrow(scan, kind), "sketches")
     once = lambda *names: sketches.groupBy("text_key").agg(*[F.first(c).alias(c) for c in names])
     info = cut_lineage(once("size", "wide"), "sizes")
@@ -288,12 +299,16 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     close = _close(info, _stars(big), similarity)
     roots = _joined(None, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
     few = _rooted(members.join(counts.where(F.col("n").between(2, FEW)), "band").select("band", "text_key"), roots)
-    one, two = (few.select("band", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    pairs = one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b")
-    pairs = pairs.union(_neighbours(big, roots, info, *range(ORDERS)))
+    pairs = _met(few).union(_neighbours(big, roots, info, *range(ORDERS)))
     close = _close(info, cut_lineage(pairs.distinct(), "pairs"), similarity)
     roots = _joined(roots, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
-    rest = cut_lineage(_rest(big, roots, info), "rest")
+    # What the bands did not bring together, or their check kept apart: every similar pair shares a rare shingle.
+    shared = cut_lineage(_shared(once("rarest").select(F.explode("rarest").alias("band"), "text_key")), "rare-shingles")
+    mixed = _mixed_bands(_rooted(shared, roots))
+    sized = _sized(info, _met(mixed.where(F.col("n") <= FEW)).distinct(), similarity)
+    roots = _joined(roots, _similar(sized, _sets(rows, _ends(sized), shingle, seed), similarity))
+    many = mixed.where(F.col("n") > FEW)
+    rest = cut_lineage(_rest(big.select("band", "text_key").union(many.select("band", "text_key")), roots, info), "rest")
     if not rest.isEmpty():
         sets = _sets(rows, rest.select("text_key"), shingle, seed)
         roots = _joined(roots, cut_lineage(_block_links(rest, sets, similarity), "block-links"))
@@ -301,6 +316,59 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     return _first_of(docs, found, "root")
 
 
+def _common(rows: DataFrame, n: int, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in about SAMPLED texts, sorted, and the place of each from rarest to most common."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle, seed)).view(np.int64))], names=["shingle"])
+
+    some = rows.where(F.pmod("text_key", F.lit(max(1, n // SAMPLED))) == 0).select("text", "text_key")
+    counts = some.mapInArrow(scan, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = [r.shingle for r in counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()]
+    found = np.array(found[::-1], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], order
+
+
+def _rarest(hashes: np.ndarray, similarity: float, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """So many of the rarest shingles of a set of hashes that any set of this similarity has one of them among its own rarest.
+
+    All sets take shingles in one order: those that are not common by their hash, then the common ones by their place. Empty sets,
+    which are alike, share a zero.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    take = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    spot = np.searchsorted(common, hashes)
+    late = np.append(common, np.uint64(0))[spot] == hashes
+    late &= spot < len(common)
+    last = hashes[late][np.argsort(places[spot[late]])]
+    return np.sort(np.concatenate([hashes[~late], last])[:take])
+
+
+def _met(few: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different components in a band, of rows (band, text_key, root)."""
+    one, two = (few.select("band", F.col("text_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b")
+
+
+def _mixed_bands(rooted: DataFrame) -> DataFrame:
+    """Rows (band, text_key, root) of bands that hold several components, with the number n of texts in the band."""
+    rooted = cut_lineage(rooted, "shingle-roots")
+    ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return cut_lineage(rooted.join(ends.where("low < high").select("band", "n"), "band"), "mixed-shingles")
+
+
+def _sized(info: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text keys whose sizes allow the similarity, with both sizes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(info.select(F.col("text_key").alias(side), F.col("size").alias(f"size_{side}")), side)
+    sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    return cut_lineage(pairs.where(sized).select("a", "b", "size_a", "size_b"), "sized")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """Every text key of the pairs once; each side is made distinct before both are put together."""
     one, two = (pairs.select(F.col(side).alias("text_key")).distinct() for side in ("a", "b"))

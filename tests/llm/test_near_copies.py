@@ -131,3 +131,32 @@ def test_blocks_meet_all_blocks(spark):
                 links.add((i // 2 * 2, j // 2 * 2))
     reach = lambda pairs: simhash_dedup.forest(*np.array(sorted(pairs), np.int64).T).values.tolist()
     assert links and reach(found) == reach(links)
+
+
+def test_pairs_that_no_band_brings_together_are_found(spark, monkeypatch):
+    """Without bands that meet, and with every candidate of theirs dropped, the groups are those of all pairs."""
+    draw = random.Random(6)
+    line = [f"c{n}" for n in range(12)]
+    bases = [[f"w{draw.randrange(5000)}" for _ in range(draw.randrange(5, 90))] for _ in range(60)]
+    texts = [" ".join(b) for b in bases]
+    texts += [altered(draw, b, 0.02) for b in bases for _ in range(2)]
+    texts += [" ".join(line + b[:8]) for b in bases] + [altered(draw, bases[0] + bases[1], 0.03) for _ in range(40)] + [None, "", " "]
+    want = {k for k, r in enumerate(components(texts)) if r == k}
+    monkeypatch.setattr(simhash_dedup, "CHECK_RADIUS", -1)
+    got = {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()}
+    assert got == want
+    monkeypatch.setattr(simhash_dedup, "COMMON", 3)
+    monkeypatch.setattr(simhash_dedup, "band_settings", lambda n, *how: (60, 1))
+    assert {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()} == want
+
+
+def test_similar_sets_share_a_rare_shingle():
+    draw = random.Random(8)
+    common = np.array(sorted(draw.sample(range(60), 20)), np.uint64)
+    places = np.array(draw.sample(range(20), 20))
+    for _ in range(3000):
+        a = set(draw.sample(range(60), draw.randrange(1, 40)))
+        b = set(draw.sample(sorted(a), draw.randrange(max(1, len(a) * 7 // 10), len(a) + 1))) | set(draw.sample(range(60), draw.randrange(4)))
+        if len(a & b) * 1.8 >= 0.8 * (len(a) + len(b)) - 1e-9:
+            one, two = (simhash_dedup._rarest(np.array(sorted(s), np.uint64), 0.8, common, places) for s in (a, b))
+            assert set(one) & set(two)
