@@ -63,6 +63,8 @@ CHECK_WORDS = 8
 CHECK_RADIUS = 140
 # Texts of a band that are all compared with each other.
 FEW = 8
+# Texts that share a rare shingle and are all compared with each other, where enough of their rare shingles agree.
+SOME = 128
 # Gray orders of a larger band, each of another word of the wide fingerprint; neighbours in any of them are compared.
 ORDERS = 4
 EDGE = ["a", "b", "edge", "word", "band", "root"]
@@ -303,11 +305,11 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     close = _close(info, cut_lineage(pairs.distinct(), "pairs"), similarity)
     roots = _joined(roots, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
     # What the bands did not bring together, or their check kept apart: every similar pair shares a rare shingle.
-    shared = cut_lineage(_shared(once("rarest").select(F.explode("rarest").alias("band"), "text_key")), "rare-shingles")
+    shared = _shared(sketches.select(F.explode("rarest").alias("band"), "text_key")).distinct()
     mixed = _mixed_bands(_rooted(shared, roots))
-    sized = _sized(info, _met(mixed.where(F.col("n") <= FEW)).distinct(), similarity)
-    roots = _joined(roots, _similar(sized, _sets(rows, _ends(sized), shingle, seed), similarity))
-    many = mixed.where(F.col("n") > FEW)
+    enough = _enough(info, _met(mixed.where(F.col("n") <= SOME)).groupBy("a", "b").agg(F.count("*").alias("shared")), similarity)
+    roots = _joined(roots, _similar(enough, _sets(rows, _ends(enough), shingle, seed), similarity))
+    many = mixed.where(F.col("n") > SOME)
     rest = cut_lineage(_rest(big.select("band", "text_key").union(many.select("band", "text_key")), roots, info), "rest")
     if not rest.isEmpty():
         sets = _sets(rows, rest.select("text_key"), shingle, seed)
@@ -361,12 +363,18 @@ def _mixed_bands(rooted: DataFrame) -> DataFrame:
     return cut_lineage(rooted.join(ends.where("low < high").select("band", "n"), "band"), "mixed-shingles")
 
 
-def _sized(info: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of text keys whose sizes allow the similarity, with both sizes."""
+def _enough(info: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, shared) of text keys whose sizes and shared rarest shingles allow the similarity, with both sizes.
+
+    Up to the last of the rarest shingles of one of them every shingle that both texts have is among the rarest of both; of the others of
+    that text, one fewer than it must share with any, all may be shared.
+    """
     for side in ("a", "b"):
         pairs = pairs.join(info.select(F.col("text_key").alias(side), F.col("size").alias(f"size_{side}")), side)
     sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
-    return cut_lineage(pairs.where(sized).select("a", "b", "size_a", "size_b"), "sized")
+    others = F.ceil(similarity * F.greatest("size_a", "size_b") - 1e-9) - 1
+    agree = (F.col("shared") + others) * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-9
+    return cut_lineage(pairs.where(sized & agree).select("a", "b", "size_a", "size_b"), "enough-shared")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

@@ -146,6 +146,7 @@ def test_pairs_that_no_band_brings_together_are_found(spark, monkeypatch):
     got = {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()}
     assert got == want
     monkeypatch.setattr(simhash_dedup, "COMMON", 3)
+    monkeypatch.setattr(simhash_dedup, "SOME", 20)
     monkeypatch.setattr(simhash_dedup, "band_settings", lambda n, *how: (60, 1))
     assert {r.doc_id for r in simhash_dedup.keep_dissimilar(table(spark, texts)).collect()} == want
 
