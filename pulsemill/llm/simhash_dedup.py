@@ -71,7 +71,7 @@ EDGE = ["a", "b", "edge", "word", "band", "root"]
 # Texts whose shingles are counted, about; in how many of them a shingle is common; and the most that are told (512 KB). They
 # decide which shingles are taken for rare, hence how many texts meet, never what is found.
 SAMPLED = 8192
-OFTEN = 4
+OFTEN = 2
 COMMON = 1 << 16
 # Shingles in a block of texts that is compared with another block.
 BLOCK_SHINGLES = 1 << 19
@@ -306,14 +306,15 @@ def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     roots = _joined(roots, _similar(close, _sets(rows, _ends(close), shingle, seed), similarity))
     # What the bands did not bring together, or their check kept apart: every similar pair shares a rare shingle.
     shared = _shared(sketches.select(F.explode("rarest").alias("band"), "text_key")).distinct()
-    mixed = _mixed_bands(_rooted(shared, roots))
-    enough = _enough(info, _met(mixed.where(F.col("n") <= SOME)).groupBy("a", "b").agg(F.count("*").alias("shared")), similarity)
-    roots = _joined(roots, _similar(enough, _sets(rows, _ends(enough), shingle, seed), similarity))
-    many = mixed.where(F.col("n") > SOME)
-    rest = cut_lineage(_rest(big.select("band", "text_key").union(many.select("band", "text_key")), roots, info), "rest")
+    mixed = _mixed_bands(_rooted(shared, roots), info)
+    enough = _enough(mixed.where(F.col("n") <= SOME), similarity)
+    links = _similar(enough, _sets(rows, _ends(enough), shingle, seed), similarity)
+    many = mixed.where(F.col("n") > SOME).select("band", "text_key")
+    rest = cut_lineage(_rest(big.select("band", "text_key").union(many), roots, info), "rest")
     if not rest.isEmpty():
         sets = _sets(rows, rest.select("text_key"), shingle, seed)
-        roots = _joined(roots, cut_lineage(_block_links(rest, sets, similarity), "block-links"))
+        links = links.union(cut_lineage(_block_links(rest, sets, similarity), "block-links"))
+    roots = _joined(roots, links)
     found = cut_lineage(_rooted(sketches.select("doc_id", "text_key"), roots), "found")
     return _first_of(docs, found, "root")
 
@@ -356,25 +357,28 @@ def _met(few: DataFrame) -> DataFrame:
     return one.join(two, "band").where("a < b AND root_a <> root_b").select("a", "b")
 
 
-def _mixed_bands(rooted: DataFrame) -> DataFrame:
-    """Rows (band, text_key, root) of bands that hold several components, with the number n of texts in the band."""
+def _mixed_bands(rooted: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows (band, text_key, root) of bands that hold several components, with the text's size and the number n of texts in the band."""
     rooted = cut_lineage(rooted, "shingle-roots")
     ends = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return cut_lineage(rooted.join(ends.where("low < high").select("band", "n"), "band"), "mixed-shingles")
+    mixed = rooted.join(ends.where("low < high").select("band", "n"), "band").join(info.select("text_key", "size"), "text_key")
+    return cut_lineage(mixed, "mixed-shingles")
 
 
-def _enough(info: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b, shared) of text keys whose sizes and shared rarest shingles allow the similarity, with both sizes.
+def _enough(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of texts of different components whose sizes and shared rarest shingles allow the similarity.
 
     Up to the last of the rarest shingles of one of them every shingle that both texts have is among the rarest of both; of the others of
     that text, one fewer than it must share with any, all may be shared.
     """
-    for side in ("a", "b"):
-        pairs = pairs.join(info.select(F.col("text_key").alias(side), F.col("size").alias(f"size_{side}")), side)
+    names = {"text_key": "", "size": "size_", "root": "root_"}
+    one, two = (mixed.select("band", *[F.col(c).alias(n + side) for c, n in names.items()]) for side in "ab")
     sized = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9
+    pairs = one.join(two, "band").where("a < b AND root_a <> root_b").where(sized)
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
     others = F.ceil(similarity * F.greatest("size_a", "size_b") - 1e-9) - 1
     agree = (F.col("shared") + others) * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-9
-    return cut_lineage(pairs.where(sized & agree).select("a", "b", "size_a", "size_b"), "enough-shared")
+    return cut_lineage(pairs.where(agree).select("a", "b", "size_a", "size_b"), "enough-shared")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
